@@ -88,6 +88,10 @@ class Albers:
             + F.sin(beta * 4) * (23 * e2**2 / 360 + 251 * e2**3 / 3780)
             + F.sin(beta * 6) * (761 * e2**3 / 45360)
         )
+        # one Newton step takes the series to full precision
+        s = F.sin(lat)
+        w = 1 - s * s * e2
+        lat = lat + w * w / (F.cos(lat) * 2) * (q / (1 - e2) - s / w + F.log((1 - s * e) / (1 + s * e)) / (2 * e))
         return F.degrees(theta / self.n) + self.lon_0, F.degrees(lat)
 
     def forward_sphere(self, lon: Column, lat: Column, radius: float = EARTH_RADIUS) -> tuple[Column, Column]:

@@ -13,11 +13,6 @@ from overgrid.operators.vector import mask_by_polygon
 from overgrid.plans.overlay import weighted_overlay
 
 
-def nearest_zoom(extent: tuple[float, float, float, float], cols: int, tile: int, deepest: int) -> int:
-    want = (extent[2] - extent[0]) / cols
-    return min(range(deepest + 1), key=lambda z: (abs(Grid(tile, z).cell_size - want), z))
-
-
 def tile_bounds(extent: tuple[float, float, float, float], grid: Grid) -> tuple[int, int, int, int]:
     side, last = grid.cell_size * grid.tile, grid.tiles - 1
 
