@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,12 @@ POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.D
 RINGS = T.ArrayType(T.ArrayType(POINT))
 
 
+def place_keys(cells: DataFrame, *keys: str) -> list[str]:
+    """Grouping or join keys of a place; with a store bucketed by tile, the bucket column ``z`` comes along so
+    that Spark sees the rows are already together."""
+    return ["z", *keys] if "z" in cells.columns else list(keys)
+
+
 @dataclass(frozen=True)
 class Grid:
     """A zoomed square layout: ``2^zoom`` tiles a side, ``tile`` cells a side in each tile."""

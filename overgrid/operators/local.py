@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
+from overgrid.model import place_keys
 from overgrid.operators.joins import fan_join
 
 
@@ -51,7 +52,7 @@ def multiply_scalar(cells: DataFrame, weights: Mapping[str, int] | DataFrame) ->
 
 def local_add(cells: DataFrame, by: tuple[str, ...] = (), nodata: str = "propagate") -> DataFrame:
     """Add all layers cell by cell: one hash aggregate, however many layers there are."""
-    keys = [*by, "zoom", "tc", "tr", "gx", "gy"]
+    keys = [*by, *place_keys(cells, "zoom", "tc", "tr", "gx", "gy")]
     return cells.groupBy(*keys).agg(cellmath.add_values(F.col("value"), nodata=nodata).alias("value"))
 
 

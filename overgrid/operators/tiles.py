@@ -14,22 +14,26 @@ TILE = ["layer", "zoom", "tc", "tr"]
 def densify_tiles(cells: DataFrame, grid: Grid, fill: int | None = None, by: list[str] = TILE) -> DataFrame:
     """Make every cell of each tile that has one explicit, as NODATA or as ``fill``.
 
-    The missing cells are added as rows and merged by the same aggregate that finds the present ones.
+    Only the present cells are shuffled: in tile order, each adds the missing cells up to the next one (the
+    first also those before it).
     """
-    tiles = cells.select(*by).distinct()
-    i = F.col("_i")
-    grown = tiles.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid.tile_cells - 1))))
-    blank = grown.select(
+    t, last = grid.tile, grid.tile_cells - 1
+    line = f"(PARTITION BY {', '.join(by)} ORDER BY i)"
+    fill_sql = "NULL" if fill is None else str(int(fill))
+    present = cells.select(*by, grid.offset_of(F.col("gx"), F.col("gy")).alias("i"), "value")
+    runs = present.selectExpr(
+        *by,
+        "i",
+        "value",
+        f"CASE WHEN lag(i) OVER {line} IS NULL THEN 0 ELSE i END AS first_i",
+        f"coalesce(lead(i) OVER {line} - 1, {last}) AS last_i",
+    )
+    return runs.selectExpr(*by, "i", "value", "explode(sequence(first_i, last_i)) AS j").selectExpr(
         *by,
-        (F.col("tc") * grid.tile + i % grid.tile).cast("int").alias("gx"),
-        (F.col("tr") * grid.tile + F.floor(i / grid.tile)).cast("int").alias("gy"),
-        F.lit(None).cast("int").alias("value"),
-        F.lit(0).alias("_has"),
+        f"tc * {t} + j % {t} AS gx",
+        f"CAST(tr * {t} + (j - j % {t}) / {t} AS INT) AS gy",
+        f"CASE WHEN i = j THEN value ELSE {fill_sql} END AS value",
     )
-    real = cells.select(*by, "gx", "gy", "value", F.lit(1).alias("_has"))
-    merged = real.unionByName(blank).groupBy(*by, "gx", "gy").agg(F.max("value").alias("value"), F.max("_has").alias("_has"))
-    value = F.col("value") if fill is None else F.when(F.col("_has") == 1, F.col("value")).otherwise(F.lit(fill))
-    return merged.select(*by, "gx", "gy", value.alias("value"))
 
 
 def pack_tiles(cells: DataFrame, grid: Grid, by: list[str] = TILE, value: str = "value") -> DataFrame:

@@ -58,8 +58,10 @@ def polygon_edges(zones: DataFrame) -> DataFrame:
     """``(zone_id, rings)`` to ``(zone_id, x1, y1, x2, y2)``; open rings are closed.  No shuffle."""
     turned = "concat(slice(ring, 2, greatest(size(ring) - 1, 0)), slice(ring, 1, 1))"
     pair = "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y)"
-    # outer: a plain explode would make the optimizer test the size of every ring expression up front
-    return zones.selectExpr("zone_id", "explode_outer(rings) AS ring").selectExpr(
+    # The outer explode keeps the optimizer from testing the size of every ring expression up front, and the
+    # filter makes all uses of the edges alike, whatever joins follow, so that their shuffles are shared.
+    named = zones.filter("zone_id IS NOT NULL")
+    return named.selectExpr("zone_id", "explode_outer(rings) AS ring").selectExpr(
         "zone_id", f"inline(zip_with(ring, {turned}, (p, q) -> {pair}))"
     )
 

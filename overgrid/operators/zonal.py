@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
-from overgrid.model import Grid
+from overgrid.model import Grid, place_keys
+from overgrid.operators.grid import z_order_key
 from overgrid.operators.vector import outline_spans, polygon_cover, polygon_spans
 
 
@@ -21,11 +22,11 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
     """
     at_zoom = cells.filter(F.col("zoom") == grid.zoom)
     cover = polygon_cover(edges, grid)
-    tiles = at_zoom.groupBy("layer", "tc", "tr").agg(
+    tiles = at_zoom.groupBy(*place_keys(cells, "layer", "tc", "tr")).agg(
         F.sum("value").alias("_sum"), F.count("value").alias("_data")
     )
     by_tile = (
-        cover.join(tiles, ["tc", "tr"])
+        cover.join(tiles.drop("z"), ["tc", "tr"])
         .groupBy("zone_id", "layer")
         .agg(
             F.sum(F.when(F.col("whole"), F.col("_sum"))).alias("total"),
@@ -33,10 +34,14 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
             F.count(F.lit(1)).alias("tiles"),
         )
     )
-    spans = outline_spans(edges, cover, grid).drop("tr")
-    rows = at_zoom.select("layer", "tc", "gx", "gy", "value")
+    spans = outline_spans(edges, cover, grid)
+    if "z" in cells.columns:
+        spans, on = z_order_key(spans), ["z", "gy"]
+    else:
+        on = ["tc", "gy"]
+    rows = at_zoom.select("layer", *on, "gx", "value")
     by_cell = (
-        rows.join(spans, ["tc", "gy"])
+        rows.join(spans.select("zone_id", *on, "a", "b"), on)
         .filter(F.col("gx").between(F.col("a"), F.col("b")))
         .groupBy("zone_id", "layer")
         .agg(

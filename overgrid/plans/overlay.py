@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
-from overgrid.model import Grid
+from overgrid.model import Grid, place_keys
 from overgrid.operators.grid import with_tile_key
 from overgrid.operators.stats import histogram_exact, quantile_breaks
 from overgrid.operators.vector import mask_by_polygon
@@ -21,7 +21,7 @@ def overlay_sum(cells: DataFrame, weights: Mapping[str, int], nodata: str = "pro
     use = cellmath.active(weights)
     scaled = F.col("value") * cellmath.weight_of(F.col("layer"), use)
     chosen = cells.filter(F.col("layer").isin(list(use)))
-    return chosen.groupBy("zoom", "gx", "gy").agg(cellmath.add_values(scaled, nodata=nodata).alias("value"))
+    return chosen.groupBy(*place_keys(cells, "zoom", "gx", "gy")).agg(cellmath.add_values(scaled, nodata=nodata).alias("value"))
 
 
 def weighted_overlay(
@@ -64,7 +64,7 @@ def _masked_sum(
     is_mask = F.col("layer") == mask_layer
     scaled = F.col("value") * cellmath.weight_of(F.col("layer"), cellmath.active(weights))
     total: Column = cellmath.add_values(scaled, F.when(~is_mask, 1), nodata)
-    sums = chosen.groupBy("zoom", "gx", "gy").agg(
+    sums = chosen.groupBy(*place_keys(chosen, "zoom", "gx", "gy")).agg(
         F.count(F.when(is_mask, 1)).alias("_mask_cells"),
         F.count(F.when(is_mask, F.col("value"))).alias("_mask_data"),
         F.count(F.when(~is_mask, 1)).alias("_layer_cells"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
-from overgrid.model import Grid
+from overgrid.model import Grid, place_keys
 from overgrid.operators.grid import with_tile_key
 from overgrid.operators.joins import fan_join
 from overgrid.operators.stats import histogram_exact, quantile_breaks
@@ -57,17 +57,19 @@ def signatures(cells: DataFrame, layers: Sequence[str], mask_layer: str | None =
     aggs += [F.coalesce(F.max(F.when(layer == name, value)), F.lit(0)).alias(f"v{i}") for i, name in enumerate(layers)]
     aggs.append(F.count(F.when(layer == mask_layer, 1) if mask_layer else F.lit(1)).alias("mask_cells"))
     aggs.append(F.count(F.when(layer == mask_layer, value) if mask_layer else F.lit(1)).alias("mask_data"))
-    found = cells.filter(layer.isin(wanted)).groupBy("zoom", "gx", "gy").agg(*aggs)
+    found = cells.filter(layer.isin(wanted)).groupBy(*place_keys(cells, "zoom", "gx", "gy")).agg(*aggs)
     found = found.filter("has <> 0 AND mask_cells > 0").withColumn(SHOWN, F.col("mask_data") > 0)
     return found.select("zoom", "gx", "gy", *_key(layers))
 
 
-def score_signatures(sigs: DataFrame, layers: Sequence[str], scenarios: DataFrame, nodata: str = "propagate") -> DataFrame:
-    """Value of each distinct signature in each scenario: the signature's columns, ``scenario_id, value``.
+def score_signatures(
+    sigs: DataFrame, layers: Sequence[str], scenarios: DataFrame, nodata: str = "propagate", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Value of each distinct signature in each scenario: ``(*signature, *keep, scenario_id, value)``.
 
     A scenario that weighs none of a signature's layers does not cover it and gives no row.
     """
-    key = _key(layers)
+    key = [*_key(layers), *keep]
     slots = [
         F.struct(
             F.lit(name).alias("layer"),
@@ -114,9 +116,8 @@ def scenario_breaks(
     key = _key(layers)
     typed = cells.filter(F.col("zoom") == zoom).withColumn("value", cellmath.as_type(F.col("value"), "smallint"))
     counted = signatures(typed, layers).groupBy(*key).agg(F.count(F.lit(1)).alias("cells"))
-    scored = score_signatures(counted, layers, scenarios)
-    sized = scored.join(counted, key).select("scenario_id", "value", "cells")
-    hist = histogram_exact(sized, ("scenario_id",), weight=F.col("cells"))
+    scored = score_signatures(counted, layers, scenarios, keep=("cells",))
+    hist = histogram_exact(scored, ("scenario_id",), weight=F.col("cells"))
     return quantile_breaks(hist, num_breaks, ("scenario_id",))
 
 

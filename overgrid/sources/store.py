@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overgrid.model import CELL_KEYS
+from overgrid.model import CELL_KEYS, place_keys
 from overgrid.operators.grid import z_order_key
 
 # The storage kinds that are plain paths, and their URI schemes.
@@ -38,8 +38,54 @@ def write_layer(cells: DataFrame, path: str, mode: str = "overwrite", partitions
     spread.sortWithinPartitions(*order, "gy", "gx").write.mode(mode).partitionBy("layer", "zoom").parquet(path)
 
 
+# Session settings that suit cell tables.
+SETTINGS = {
+    # Cell files are tiny next to their rows (runs of 0 and 1), so sizes on disk must not decide on broadcasts.
+    "spark.sql.sources.fileCompressionFactor": "128.0",
+    # Tables bucketed by tile stay where they are when a join has further keys inside the tile.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Where both sides of a join are in small partitions, hash them instead of sorting.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply ``SETTINGS`` to the session, except where it has its own values."""
+    defaults = {
+        "spark.sql.sources.fileCompressionFactor": "1.0",
+        "spark.sql.requireAllClusterKeysForCoPartition": "true",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0b",
+    }
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, defaults[name]).lower() in (defaults[name], defaults[name].rstrip("b")):
+            spark.conf.set(name, value)
+
+
+def write_buckets(cells: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Write cells as a table bucketed by tile: all layers of a tile in one file, sorted by zoom and layer.
+
+    Overlays, masks, signatures and tile sums group by place, and need no shuffle on such a table; filters on
+    zoom and layer skip row groups.  A tile holds at most ``tile^2`` cells a layer, so buckets are even.  Take
+    a few hundred MB a bucket.
+    """
+    keyed = z_order_key(cells.select(*CELL_KEYS, "value")).repartition(buckets, "z")
+    out = keyed.write.format("parquet").mode("overwrite").bucketBy(buckets, "z").sortBy("zoom", "layer", "z")
+    out.option("path", path).saveAsTable(table)
+
+
+def open_buckets(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """A table of ``write_buckets``, also from another session; the column ``z`` stays, see ``place_keys``."""
+    tune(spark)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} (layer STRING, zoom INT, tc INT, tr INT, gx INT, gy INT, value INT, z BIGINT)"
+        f" USING parquet CLUSTERED BY (z) SORTED BY (zoom, layer, z) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table).select(*CELL_KEYS, "value", "z")
+
+
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """All cells of a store.  The schema is fixed, so layer names such as ``01`` stay strings."""
+    tune(spark)
     schema = "tc INT, tr INT, gx INT, gy INT, value INT, z BIGINT, layer STRING, zoom INT"
     return spark.read.schema(schema).parquet(path).select(*CELL_KEYS, "value")
 
@@ -75,7 +121,7 @@ def layer_metadata(cells: DataFrame) -> DataFrame:
 
     Counting goes tile by tile first, so that no task sees more than the tiles of one layer.
     """
-    tiles = cells.groupBy("layer", "zoom", "tc", "tr").agg(
+    tiles = cells.groupBy(*place_keys(cells, "layer", "zoom", "tc", "tr")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("value").alias("d"),
         F.min("gx").alias("x0"),

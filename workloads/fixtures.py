@@ -28,7 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _on_map(pixels: DataFrame) -> DataFrame:
-    placed = pixels.withColumns({"gx": z_decode_x("p", BITS), "gy": z_decode_y("p", BITS)}).drop("p")
+    """Pixel number ``p`` to its place.  The generator keeps the optimizer from copying the long bit
+    expressions into every later filter and key, as it would with a plain projection."""
+    rest = [c for c in pixels.columns if c != "p"]
+    spot = F.struct(z_decode_x("p", BITS).alias("gx"), z_decode_y("p", BITS).alias("gy"))
+    placed = pixels.select(*rest, F.inline_outer(F.array(spot)))
     return with_tile_key(placed.withColumn("zoom", F.lit(GRID.zoom)), GRID)
 
 
@@ -60,8 +64,8 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     """One kite per supplier, in pixel coordinates, open ring; every 25th is six times as large."""
     size = "CAST((6 + s_suppkey % 20) * (CASE WHEN s_suppkey % 25 = 3 THEN 6 ELSE 1 END) AS DOUBLE) AS r"
     centre = table(spark, sf, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS zone_id", "coalesce(s_suppkey * 600 + 317, 0) AS p", size)
-    placed = centre.select("zone_id", z_decode_x("p", BITS).alias("cx"), z_decode_y("p", BITS).alias("cy"), "r")
-    ring = ", ".join(f"named_struct('x', cx + r * {dx!r}D, 'y', cy + r * {dy!r}D)" for dx, dy in KITE)
+    placed = _on_map(centre)
+    ring = ", ".join(f"named_struct('x', gx + r * {dx!r}D, 'y', gy + r * {dy!r}D)" for dx, dy in KITE)
     return placed.selectExpr("zone_id", f"array(array({ring})) AS rings")
 
 
