@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from overgrid.model import Grid
+from overgrid.plans import overlay
 from overgrid.sources import config, ingest, store
 from workloads import fixtures as fx
 from workloads.fixtures import sql
 from workloads.gridding import _LEVELS, H, R
+from workloads.local import _OVERLAY
 from workloads.registry import query
 
 CELL = ["layer", "zoom", "tc", "tr", "gx", "gy", "value"]
@@ -94,10 +96,11 @@ def read_layer(spark, sf):
 
 @query(
     "query_layer_bounds",
-    sql("select * from cells where layer = 'NF' and tc between 1 and 4 and tr between 2 and 5", "cells"),
+    sql("select * from cells where layer = 'NF' and tc >= 1", "cells"),
 )
 def query_layer_bounds(spark, sf):
-    return store.query_layer_bounds(fx.store(spark, sf), "NF", fx.GRID.zoom, (1, 2, 4, 5)).select(*CELL)
+    """Everything but the first column of tiles."""
+    return store.query_layer_bounds(fx.store(spark, sf), "NF", fx.GRID.zoom, (1, 0, fx.GRID.tiles - 1, fx.GRID.tiles - 1)).select(*CELL)
 
 
 @query(
@@ -141,3 +144,13 @@ def write_layer(spark, sf):
     path = store.shared_folder(spark)
     store.write_layer(fx.store(spark, sf), path)
     return store.open_store(spark, path)
+
+
+@query("bucketed_overlay", sql(_OVERLAY, "cells", "weights", "mask"))
+def bucketed_overlay(spark, sf):
+    """The overlay on a table bucketed by tile, where it needs no shuffle."""
+    path = store.shared_folder(spark)
+    table, buckets = path.rsplit("/", 1)[1].replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.write_buckets(fx.store(spark, sf), table, path, buckets)
+    held = store.open_buckets(spark, table, path, buckets)
+    return overlay.weighted_overlay(held, fx.WEIGHTS, fx.GRID)
