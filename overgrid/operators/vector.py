@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from overgrid.functions import projection
 from overgrid.model import WORLD_HALF, Grid
+from overgrid.operators.joins import fan_join
 
 GEOJSON = (
     "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>,"
@@ -173,7 +174,8 @@ def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame
     """Per zone, the cells of the tiles it meets, NODATA where a cell lies outside the polygon."""
     cover = polygon_cover(edges, grid)
     spans = outline_spans(edges, cover, grid).drop("tr").alias("s")
-    held = cells.join(cover, ["tc", "tr"]).alias("h")
+    # A tile under very many zones is split by its cells; the cover is small next to what it selects.
+    held = fan_join(cells, cover, ["tc", "tr"]).alias("h")
     at = "h.zone_id = s.zone_id AND h.tc = s.tc AND h.gy = s.gy AND h.gx BETWEEN s.a AND s.b"
     rest = [f"h.{c}" for c in cells.columns if c != "value"]
     value = "CASE WHEN h.whole OR s.a IS NOT NULL THEN h.value END AS value"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from overgrid.functions import cellmath
 from overgrid.model import Grid, place_keys
 from overgrid.operators.grid import z_order_key
+from overgrid.operators.joins import fan_join
 from overgrid.operators.vector import outline_spans, polygon_cover, polygon_spans
 
 
@@ -18,7 +19,8 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
     number of the layer's tiles that the zone meets.
 
     Tiles wholly inside a zone are answered from one sum per tile; only tiles on an outline are read cell by
-    cell.  Both halves are keyed by place, not by zone, so one huge zone is spread like many small ones.
+    cell.  Both halves are keyed by place, not by zone, so one huge zone is spread like many small ones.  A tile
+    under very many zones is split too: by zone in the first half, by cell row in the second.
     """
     at_zoom = cells.filter(F.col("zoom") == grid.zoom)
     cover = polygon_cover(edges, grid)
@@ -26,7 +28,7 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
         F.sum("value").alias("_sum"), F.count("value").alias("_data")
     )
     by_tile = (
-        cover.join(tiles.drop("z"), ["tc", "tr"])
+        fan_join(cover, tiles.drop("z"), ["tc", "tr"])
         .groupBy("zone_id", "layer")
         .agg(
             F.sum(F.when(F.col("whole"), F.col("_sum"))).alias("total"),
