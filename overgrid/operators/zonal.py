@@ -20,7 +20,8 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
 
     Tiles wholly inside a zone are answered from one sum per tile; only tiles on an outline are read cell by
     cell.  Both halves are keyed by place, not by zone, so one huge zone is spread like many small ones.  A tile
-    under very many zones is split too: by zone in the first half, by cell row in the second.
+    under very many zones is split too: by zone in the first half, by cell row in the second, where equal runs
+    of cells, as copies of a zone have, are summed once.
     """
     at_zoom = cells.filter(F.col("zoom") == grid.zoom)
     cover = polygon_cover(edges, grid)
@@ -41,14 +42,22 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
         spans, on = z_order_key(spans), ["z", "gy"]
     else:
         on = ["tc", "gy"]
+    run = [*on, "a", "b"]
+    # One shuffle of the runs serves both uses: finding the distinct ones and handing their sums back.
+    spans = spans.select("zone_id", *run).repartition(*run)
     rows = at_zoom.select("layer", *on, "gx", "value")
-    by_cell = (
-        rows.join(spans.select("zone_id", *on, "a", "b"), on)
+    sums = (
+        rows.join(spans.select(*run).distinct(), on)
         .filter(F.col("gx").between(F.col("a"), F.col("b")))
+        .groupBy("layer", *run)
+        .agg(F.sum("value").alias("_sum"), F.count("value").alias("_data"))
+    )
+    by_cell = (
+        spans.join(sums, run)
         .groupBy("zone_id", "layer")
         .agg(
-            F.sum("value").alias("total"),
-            F.count("value").alias("data_cells"),
+            F.sum("_sum").alias("total"),
+            F.sum("_data").alias("data_cells"),
             F.lit(0).cast("bigint").alias("tiles"),
         )
     )
