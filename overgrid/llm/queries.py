@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from overgrid.llm import lines, quality
+from overgrid.llm import lines, near, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_near_dedup": near.op7_near_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
