@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from overgrid.llm import lines, near, quality
+import corpus_pipeline
+from overgrid.llm import bpe, decontaminate, lines, near, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_near_dedup": near.op7_near_dedup,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
