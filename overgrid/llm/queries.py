@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, lines, near, quality
+from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_line_dedup": lines.op6_line_dedup,
