@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, quality, warc
+from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_near_dedup": near.op7_near_dedup,
+    "op8_pii": pii.op8_pii,
     "op10_quality": quality.op10_quality,
     "pipeline": corpus_pipeline.run,
 }
