@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pii, quality, warc
+from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pages, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_near_dedup": near.op7_near_dedup,
     "op8_pii": pii.op8_pii,
+    "op9_main_text": pages.op9_main_text,
     "op10_quality": quality.op10_quality,
     "pipeline": corpus_pipeline.run,
 }
