@@ -24,31 +24,12 @@ from pyspark.sql import functions as F
 from overgrid.llm import linking
 from overgrid.llm.common import free_name, plain, shared_folder, stored
 from overgrid.llm.linking import components, link, star_edges
-from overgrid.llm.words import U, mix, shingle_sets
+from overgrid.llm.words import U, minima, mix, shingle_sets
 from overgrid.operators.joins import fan_join
 
 PERCENT = 85
 REGISTERS, BANDS = 120, 24
 MANTISSA = 10
-_MULTIPLIERS = mix(np.arange(1000, 1000 + REGISTERS, dtype=np.uint64)) | U(1)
-_MASKS = mix(np.arange(5000, 5000 + REGISTERS, dtype=np.uint64))
-
-
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The smallest value of each bucket's hash over each (non-empty) set: ``(sets, REGISTERS)``."""
-    out = np.empty((len(sets), REGISTERS), dtype=np.uint64)
-    at = 0
-    while at < len(sets):
-        upto, held = at, 0
-        while upto < len(sets) and (held == 0 or held + len(sets[upto]) <= 1 << 15):
-            held += len(sets[upto])
-            upto += 1
-        values = np.concatenate(sets[at:upto])
-        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[at : upto - 1]], dtype=np.int64))).astype(np.int64)
-        for k in range(REGISTERS):
-            out[at:upto, k] = np.minimum.reduceat((values ^ _MASKS[k]) * _MULTIPLIERS[k], starts)
-        at = upto
-    return out
 
 
 def registers(least: np.ndarray) -> np.ndarray:
@@ -97,7 +78,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         digest: list[bytes | None] = [None] * len(sets)
         sketch: list[bytes | None] = [None] * len(sets)
         if full:
-            for i, row in zip(full, registers(minima([sets[i] for i in full])), strict=True):
+            for i, row in zip(full, registers(minima([sets[i] for i in full], REGISTERS)), strict=True):
                 digest[i] = linking.digest(sets[i])
                 sketch[i] = row.tobytes()
         return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "digest": digest, "sketch": sketch})

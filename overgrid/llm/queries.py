@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pages, pii, quality, warc
+from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pages, paragraphs, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_paragraphs": paragraphs.op4_paragraphs,
     "op5_warc": warc.op5_warc,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_near_dedup": near.op7_near_dedup,

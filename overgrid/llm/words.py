@@ -115,3 +115,22 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(starts, offsets)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield np.unique(shingle(hashes[a:b], k))
+
+
+def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """The smallest value of each of ``count`` hashes over each (non-empty) set: ``(sets, count)``."""
+    out = np.empty((len(sets), count), dtype=np.uint64)
+    multipliers = mix(np.arange(1000, 1000 + count, dtype=np.uint64)) | U(1)
+    masks = mix(np.arange(5000, 5000 + count, dtype=np.uint64))
+    at = 0
+    while at < len(sets):
+        upto, held = at, 0
+        while upto < len(sets) and (held == 0 or held + len(sets[upto]) <= 1 << 15):
+            held += len(sets[upto])
+            upto += 1
+        values = np.concatenate(sets[at:upto])
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[at : upto - 1]], dtype=np.int64))).astype(np.int64)
+        for k in range(count):
+            out[at:upto, k] = np.minimum.reduceat((values ^ masks[k]) * multipliers[k], starts)
+        at = upto
+    return out
