@@ -187,23 +187,24 @@ def without_lines(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with a struct column ``kept (text, n_lines, n_dropped)``.  ``kept`` must be a free name."""
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, column: str = "kept") -> DataFrame:
+    """``docs`` with a struct ``column (text, n_lines, n_dropped)``."""
     drops = drop_lists(docs, doc_id, text, min_chars)
     a, b, c = (free_name(docs.columns, x) for x in ("_id", "_sig", "_lines"))
     keyed = docs.withColumns(
         {a: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)), b: F.xxhash64(text_of(F.col(f"`{text}`")))}
     )
     joined = keyed.join(drops.toDF(a, b, c), [a, b], "left")
-    return joined.withColumn("kept", without_lines(F.col(f"`{text}`"), F.col(c))).drop(a, b, c)
+    return joined.withColumn(column, without_lines(F.col(f"`{text}`"), F.col(c))).drop(a, b, c)
 
 
 def line_dedup_stage(docs: DataFrame) -> DataFrame:
     """The columns of documents, with the texts that are left and their lengths."""
-    done = line_dedup(docs)
-    changed = {"text": F.col("kept.text")}
+    name = free_name(docs.columns, "_kept")
+    done = line_dedup(docs, column=name)
+    changed = {"text": F.col(f"{name}.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(F.col("kept.text")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.length(F.col(f"{name}.text")).cast(docs.schema["n_chars"].dataType)
     return done.withColumns(changed).select(*docs.columns)
 
 

@@ -251,8 +251,9 @@ def train(pages: DataFrame, column: str = "html") -> lstm.Labeller | None:
     found = pages.select(value.alias("html")).filter(share).distinct().mapInPandas(run, "x array<float>, y array<double>").toPandas()
     if found.empty:
         return None
-    found = found.iloc[np.argsort([zlib.crc32(x.tobytes()) for x in found["x"]], kind="stable")]
-    return lstm.fit([x.reshape(-1, WIDTH) for x in found["x"]], list(found["y"]))
+    rows = [(np.asarray(x, dtype=np.float32), np.asarray(y)) for x, y in zip(found["x"], found["y"], strict=True)]
+    rows.sort(key=lambda row: zlib.crc32(row[0].tobytes()))
+    return lstm.fit([x.reshape(-1, WIDTH) for x, _ in rows], [y for _, y in rows])
 
 
 def main_text(pages: list[str | None], model: lstm.Labeller | None) -> list[str]:
