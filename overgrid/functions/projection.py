@@ -18,7 +18,14 @@ def mercator_x(lon: Column) -> Column:
     return F.radians(lon) * EARTH_RADIUS
 
 
+#: Latitude of the square world's top; beyond it the projection leaves the square, at the pole it has no value.
+MAX_LATITUDE = math.degrees(2 * math.atan(math.exp(math.pi)) - math.pi / 2)
+
+
 def mercator_y(lat: Column) -> Column:
+    """Latitudes beyond the square world are taken as its border."""
+    held = F.least(F.greatest(lat, F.lit(-MAX_LATITUDE)), F.lit(MAX_LATITUDE))
+    lat = F.when(F.isnan(lat), lat).otherwise(held)
     return F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * EARTH_RADIUS
 
 

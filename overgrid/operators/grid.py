@@ -29,7 +29,11 @@ def albers_project(points: DataFrame, inverse: bool = False, conic: projection.A
 
 
 def assign_tile_key(points: DataFrame, grid: Grid) -> DataFrame:
-    """Add the pixel ``gx, gy`` and tile ``tc, tr`` of ``x, y``; points off the square world are dropped."""
+    """Add the pixel ``gx, gy`` and tile ``tc, tr`` of ``x, y``.
+
+    Points off the square world and points without a number for a coordinate are dropped; see ``count_dropped``.
+    """
+    points = points.filter(~F.isnan("x") & ~F.isnan("y"))
     fx = (F.col("x") + WORLD_HALF) / grid.cell_size
     fy = (F.lit(WORLD_HALF) - F.col("y")) / grid.cell_size
     placed = points.withColumns({"_fx": F.floor(fx), "_fy": F.floor(fy)})
@@ -38,6 +42,17 @@ def assign_tile_key(points: DataFrame, grid: Grid) -> DataFrame:
     return with_tile_key(keyed.withColumn("zoom", F.lit(grid.zoom)), grid)
 
 
+def count_dropped(points: DataFrame, grid: Grid, by: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """``(*by, points, not_numbers, off_world)``: what ``assign_tile_key`` drops."""
+    x, y = F.col("x"), F.col("y")
+    number = F.coalesce(~(F.isnan(x) | F.isnan(y)), F.lit(False)) & x.isNotNull() & y.isNotNull()
+    px, py = F.floor((x + WORLD_HALF) / grid.cell_size), F.floor((F.lit(WORLD_HALF) - y) / grid.cell_size)
+    inside = px.between(0, grid.size - 1) & py.between(0, grid.size - 1)
+    return points.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(~number).alias("not_numbers"), F.count_if(number & ~inside).alias("off_world")
+    )
+
+
 def with_tile_key(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.withColumns({"tc": grid.tile_of(F.col("gx")), "tr": grid.tile_of(F.col("gy"))})
 
@@ -58,8 +73,8 @@ def z_order_key(keys: DataFrame, name: str = "z") -> DataFrame:
 
 
 def key_to_extent(keys: DataFrame, grid: Grid) -> DataFrame:
-    """Add ``xmin, ymin, xmax, ymax`` of the tile ``tc, tr``."""
-    side = grid.cell_size * grid.tile
+    """Add ``xmin, ymin, xmax, ymax`` of the tile ``tc, tr``, at the keys' own ``zoom`` if they have one."""
+    side = _tile_side(keys, grid)
     return keys.withColumns(
         {
             "xmin": F.col("tc") * side - WORLD_HALF,
@@ -70,6 +85,12 @@ def key_to_extent(keys: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def _tile_side(keys: DataFrame, grid: Grid) -> Column:
+    if "zoom" in keys.columns:
+        return F.lit(2 * WORLD_HALF) / F.expr("shiftleft(1L, zoom)")
+    return F.lit(grid.cell_size * grid.tile)
+
+
 def extent_to_bounds(extents: DataFrame, grid: Grid, unit: str = "tile") -> DataFrame:
     """Add inclusive bounds ``c0, r0, c1, r1`` (tiles or cells); right and bottom edges are exclusive."""
     side = grid.cell_size * (grid.tile if unit == "tile" else 1)
@@ -107,20 +128,39 @@ def rasterize_points(points: DataFrame, grid: Grid, mode: str = "presence", thre
     return assign_tile_key(points, grid).groupBy(*CELL_KEYS).agg(value.cast("int").alias("value"))
 
 
-def resample_nearest(points: DataFrame, grid: Grid, sample_id: str) -> DataFrame:
+def resample_nearest(points: DataFrame, grid: Grid, sample_id: str, source_cell: float | None = None) -> DataFrame:
     """Samples ``(layer, x, y, value, <sample_id>)`` to cells: the sample nearest to each cell's centre.
 
+    ``source_cell`` is the side of a source's own cells, in metres, with a sample at each centre: a sample then
+    reaches all grid cells whose centre its cell covers, so a source coarser than the grid leaves no hole.
+
     Equally near samples are decided by ``sample_id``.  The choice is an aggregate with map-side partials,
     so a cell that holds most of the samples costs one row per input task in the shuffle.
     """
     fx = (F.col("x") + WORLD_HALF) / grid.cell_size
     fy = (WORLD_HALF - F.col("y")) / grid.cell_size
     dx, dy = fx - F.col("gx") - 0.5, fy - F.col("gy") - 0.5
-    keyed = assign_tile_key(points, grid).withColumn("_off", dx * dx + dy * dy)
+    keyed = assign_tile_key(points, grid)
+    if source_cell is not None:
+        keyed = _spread(keyed, grid, fx, fy, source_cell / grid.cell_size / 2)
+    keyed = keyed.withColumn("_off", dx * dx + dy * dy)
     nearest = F.min_by("value", F.struct("_off", sample_id))
     return keyed.groupBy(*CELL_KEYS).agg(nearest.alias("value"))
 
 
+def _spread(keyed: DataFrame, grid: Grid, fx: Column, fy: Column, reach: float) -> DataFrame:
+    """Each sample once for every cell whose centre lies within ``reach`` cells of it on both axes, its own included."""
+
+    def span(at: Column, own: str) -> Column:
+        first = F.greatest(F.least(F.ceil(at - reach - 0.5), F.col(own)), F.lit(0))
+        last = F.least(F.greatest(F.floor(at + reach - 0.5), F.col(own)), F.lit(grid.size - 1))
+        return F.sequence(first.cast("int"), last.cast("int"))
+
+    wide = keyed.withColumns({"_gx": span(fx, "gx"), "_gy": span(fy, "gy")})
+    columns = wide.withColumn("gx", F.explode("_gx")).withColumn("gy", F.explode("_gy"))
+    return with_tile_key(columns.drop("_gx", "_gy"), grid)
+
+
 def pyramid(cells: DataFrame, grid: Grid, to_zoom: int = 0, levels_at_once: int = 10, keep_base: bool = True) -> DataFrame:
     """Coarser copies of all layers, ``grid.zoom - 1`` down to ``to_zoom``, by nearest neighbour.
 

@@ -15,20 +15,21 @@ def densify_tiles(cells: DataFrame, grid: Grid, fill: int | None = None, by: lis
     """Make every cell of each tile that has one explicit, as NODATA or as ``fill``.
 
     Only the present cells are shuffled: in tile order, each adds the missing cells up to the next one (the
-    first also those before it).
+    first also those before it).  A repeated cell counts once, with its greatest value.
     """
     t, last = grid.tile, grid.tile_cells - 1
-    line = f"(PARTITION BY {', '.join(by)} ORDER BY i)"
+    line = f"(PARTITION BY {', '.join(by)} ORDER BY i, value)"
     fill_sql = "NULL" if fill is None else str(int(fill))
     present = cells.select(*by, grid.offset_of(F.col("gx"), F.col("gy")).alias("i"), "value")
     runs = present.selectExpr(
         *by,
         "i",
         "value",
-        f"CASE WHEN lag(i) OVER {line} IS NULL THEN 0 ELSE i END AS first_i",
         f"coalesce(lead(i) OVER {line} - 1, {last}) AS last_i",
+        f"CASE WHEN min(i) OVER {line} = i THEN 0 ELSE i END AS first_i",
     )
-    return runs.selectExpr(*by, "i", "value", "explode(sequence(first_i, last_i)) AS j").selectExpr(
+    once = runs.filter("last_i >= i")
+    return once.selectExpr(*by, "i", "value", "explode(sequence(first_i, last_i)) AS j").selectExpr(
         *by,
         f"tc * {t} + j % {t} AS gx",
         f"CAST(tr * {t} + (j - j % {t}) / {t} AS INT) AS gy",
@@ -37,16 +38,26 @@ def densify_tiles(cells: DataFrame, grid: Grid, fill: int | None = None, by: lis
 
 
 def pack_tiles(cells: DataFrame, grid: Grid, by: list[str] = TILE, value: str = "value") -> DataFrame:
-    """Cells to ``(*by, z, cells ARRAY)`` in row order.  A tile never holds more than ``tile^2`` cells."""
+    """Cells to ``(*by, z, cells ARRAY)``: always ``tile^2`` long, in row order, NULL where a cell is absent.
+
+    A repeated cell counts once, with its greatest value.
+    """
     entry = F.struct(grid.offset_of(F.col("gx"), F.col("gy")).alias("i"), F.col(value).alias("v"))
-    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    return packed.select(
-        *by, zcurve.z_encode("tc", "tr", grid.zoom).alias("z"), F.transform("_e", lambda e: e["v"]).alias("cells")
-    )
+    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    # Each entry is followed by the gap up to the next one; the first also follows the gap before it.
+    once = "filter(_all, (e, k) -> coalesce(get(_all, k + 1).i <> e.i, true))"
+    gap = f"coalesce(get(_e, k + 1).i, {grid.tile_cells}) - e.i - 1"
+    filled = f"flatten(transform(_e, (e, k) -> concat(array(e.v), {_nulls(gap)})))"
+    whole = packed.selectExpr(*by, f"{once} AS _e").selectExpr(*by, f"concat({_nulls('get(_e, 0).i')}, {filled}) AS cells")
+    return whole.select(*by, zcurve.z_encode("tc", "tr", grid.zoom).alias("z"), "cells")
+
+
+def _nulls(count: str) -> str:
+    return f"array_repeat(NULL, {count})"
 
 
 def unpack_tiles(tiles: DataFrame, grid: Grid) -> DataFrame:
-    """Dense packed tiles back to cells."""
+    """Packed tiles back to cells, absent ones as NODATA."""
     each = tiles.select(*TILE, F.posexplode("cells").alias("_i", "value"))
     i = F.col("_i")
     gx = F.col("tc") * grid.tile + i % grid.tile

@@ -56,12 +56,16 @@ def polygon_to_pixels(zones: DataFrame, grid: Grid) -> DataFrame:
 
 
 def polygon_edges(zones: DataFrame) -> DataFrame:
-    """``(zone_id, rings)`` to ``(zone_id, x1, y1, x2, y2)``; open rings are closed.  No shuffle."""
+    """``(zone_id, rings)`` to ``(zone_id, x1, y1, x2, y2)``; open rings are closed.  No shuffle.
+
+    A zone without an id is an error: its cells could not be told from another's.
+    """
     turned = "concat(slice(ring, 2, greatest(size(ring) - 1, 0)), slice(ring, 1, 1))"
     pair = "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y)"
     # The outer explode keeps the optimizer from testing the size of every ring expression up front, and the
     # filter makes all uses of the edges alike, whatever joins follow, so that their shuffles are shared.
-    named = zones.filter("zone_id IS NOT NULL")
+    checked = zones.selectExpr("CASE WHEN zone_id IS NULL THEN raise_error('a zone has no id') ELSE zone_id END AS zone_id", "rings")
+    named = checked.filter("zone_id IS NOT NULL")
     return named.selectExpr("zone_id", "explode_outer(rings) AS ring").selectExpr(
         "zone_id", f"inline(zip_with(ring, {turned}, (p, q) -> {pair}))"
     )
@@ -175,7 +179,8 @@ def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame
     cover = polygon_cover(edges, grid)
     spans = outline_spans(edges, cover, grid).drop("tr").alias("s")
     # A tile under very many zones is split by its cells; the cover is small next to what it selects.
-    held = fan_join(cells, cover, ["tc", "tr"]).alias("h")
+    asked = cells.join(cover.select("tc", "tr").distinct(), ["tc", "tr"], "left_semi")
+    held = fan_join(asked, cover, ["tc", "tr"]).alias("h")
     at = "h.zone_id = s.zone_id AND h.tc = s.tc AND h.gy = s.gy AND h.gx BETWEEN s.a AND s.b"
     rest = [f"h.{c}" for c in cells.columns if c != "value"]
     value = "CASE WHEN h.whole OR s.a IS NOT NULL THEN h.value END AS value"

@@ -14,17 +14,44 @@ from overgrid.operators.joins import fan_join
 from overgrid.operators.vector import outline_spans, polygon_cover, polygon_spans
 
 
-def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
+def zone_bounds(edges: DataFrame, grid: Grid) -> tuple[int, int, int, int] | None:
+    """Inclusive tile bounds ``(c0, r0, c1, r1)`` around all zones, read as one row; None without zones."""
+    t, last = grid.tile, grid.tiles - 1
+    row = edges.agg(
+        *[F.expr(f"CAST(least(greatest(floor({f}({g}({a}, {b})) / {t}), 0), {last}) AS INT)")
+          for f, g, a, b in (("min", "least", "x1", "x2"), ("min", "least", "y1", "y2"), ("max", "greatest", "x1", "x2"), ("max", "greatest", "y1", "y2"))]
+    ).first()
+    return None if row[0] is None else tuple(row)
+
+
+def within(cells: DataFrame, bounds: tuple[int, int, int, int] | None) -> DataFrame:
+    """Cells of the tiles in inclusive bounds: literals, which reach the scan."""
+    if bounds is None:
+        return cells
+    c0, r0, c1, r1 = bounds
+    return cells.filter(F.col("tc").between(c0, c1) & F.col("tr").between(r0, r1))
+
+
+def covered(cells: DataFrame, cover: DataFrame) -> DataFrame:
+    """Cells of the tiles that some zone meets: what no zone asks for goes before any aggregate or shuffle."""
+    tiles = cover.select("tc", "tr").distinct()
+    if "z" in cells.columns:
+        tiles = z_order_key(tiles)
+    return cells.join(tiles, tiles.columns, "left_semi")
+
+
+def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
     """``(zone_id, layer, total, data_cells, tiles)``: sum and count of data cells inside each zone, and the
     number of the layer's tiles that the zone meets.
 
     Tiles wholly inside a zone are answered from one sum per tile; only tiles on an outline are read cell by
     cell.  Both halves are keyed by place, not by zone, so one huge zone is spread like many small ones.  A tile
     under very many zones is split too: by zone in the first half, by cell row in the second, where equal runs
-    of cells, as copies of a zone have, are summed once.
+    of cells, as copies of a zone have, are summed once.  Only cells of tiles that a zone meets are aggregated;
+    ``bounds`` around the zones (``zone_bounds``) keep the rest of the store from being read.
     """
-    at_zoom = cells.filter(F.col("zoom") == grid.zoom)
     cover = polygon_cover(edges, grid)
+    at_zoom = covered(within(cells.filter(F.col("zoom") == grid.zoom), bounds), cover)
     tiles = at_zoom.groupBy(*place_keys(cells, "layer", "tc", "tr")).agg(
         F.sum("value").alias("_sum"), F.count("value").alias("_data")
     )
@@ -71,8 +98,16 @@ def combine_parts(parts: DataFrame) -> DataFrame:
     )
 
 
-def zonal_sum(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
-    return zonal_parts(cells, edges, grid).select("zone_id", "layer", "total", "data_cells")
+def zonal_sum(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
+    return zonal_parts(cells, edges, grid, bounds).select("zone_id", "layer", "total", "data_cells")
+
+
+def tile_counts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``(zone_id, layer, tiles)``: the layer's tiles that each zone meets, from tile keys alone."""
+    cover = polygon_cover(edges, grid)
+    held = covered(within(cells.filter(F.col("zoom") == grid.zoom), bounds), cover)
+    keys = held.select(*place_keys(held, "layer", "tc", "tr")).distinct().select("layer", "tc", "tr")
+    return fan_join(cover, keys, ["tc", "tr"]).groupBy("zone_id", "layer").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 def zone_area(edges: DataFrame, grid: Grid) -> DataFrame:

@@ -41,12 +41,12 @@ def wms_overlay(
 ) -> DataFrame:
     """The overlay over ``extent`` (web mercator) resampled to ``cols`` x ``rows`` picture cells.
 
-    Rows ``(col, row, value, rgba)``: each picture cell takes the overlay cell under its centre.  Several
+    Rows ``(col, row, value, rgba)``, with ``edges`` also ``zone_id`` and one picture a zone: each picture cell takes the overlay cell under its centre.  Several
     picture cells may show one overlay cell, so every overlay cell tells which centres it lies under.
     """
     over = weighted_overlay(cells, weights, grid, bounds=tile_bounds(extent, grid))
     if edges is not None:
-        over = mask_by_polygon(over, edges, grid).drop("zone_id")
+        over = mask_by_polygon(over, edges, grid)
     xmin, ymin, xmax, ymax = extent
     # picture coordinates of the cell's left and top edges: a + b * g
     per_col = grid.cell_size * cols / (xmax - xmin)
@@ -63,4 +63,5 @@ def wms_overlay(
     r0, r1 = centres("gy", row_at, per_row, rows)
     hit = over.withColumns({"_c0": c0, "_c1": c1, "_r0": r0, "_r1": r1}).filter("_c0 <= _c1 AND _r0 <= _r1")
     shown = hit.withColumn("col", F.explode(F.sequence("_c0", "_c1"))).withColumn("row", F.explode(F.sequence("_r0", "_r1")))
-    return shown.select("col", "row", "value", classify(F.col("value"), breaks, colors).alias("rgba"))
+    zone = [] if edges is None else ["zone_id"]
+    return shown.select(*zone, "col", "row", "value", classify(F.col("value"), breaks, colors).alias("rgba"))

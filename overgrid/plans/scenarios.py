@@ -18,21 +18,30 @@ from overgrid.operators.grid import with_tile_key
 from overgrid.operators.joins import fan_join
 from overgrid.operators.stats import histogram_exact, quantile_breaks
 from overgrid.operators.zonal import layer_ratio, zonal_parts
-from overgrid.plans.overlay import MASK
+from overgrid.plans.overlay import MASK, mask_tiles
 from overgrid.plans.summary import with_total
 
 
 SHOWN = "shown"
 
 
+#: Layers whose bits one BIGINT holds; more layers take more words.
+WORD = 62
+
+
+def _words(layers: Sequence[str]) -> range:
+    return range(-(-len(layers) // WORD))
+
+
 def _key(layers: Sequence[str]) -> list[str]:
-    return ["has", "gaps", *[f"v{i}" for i in range(len(layers))], SHOWN]
+    flags = [f"{kind}{w}" for w in _words(layers) for kind in ("has", "gaps")]
+    return [*flags, *[f"v{i}" for i in range(len(layers))], SHOWN]
 
 
-def _bits(layers: Sequence[str]) -> Column:
-    """The bit of each layer; layers are few (a request's list), so they fit one BIGINT."""
+def _bits(layers: Sequence[str], word: int) -> Column:
+    """The bit of each layer in one word."""
     bit: Column = F.lit(None).cast("bigint")
-    for i, name in enumerate(layers):
+    for i, name in enumerate(layers[word * WORD : (word + 1) * WORD]):
         bit = F.when(F.col("layer") == name, F.lit(1 << i).cast("bigint")).otherwise(bit)
     return bit
 
@@ -40,25 +49,29 @@ def _bits(layers: Sequence[str]) -> Column:
 def signatures(cells: DataFrame, layers: Sequence[str], mask_layer: str | None = None) -> DataFrame:
     """One row per covered cell: its place and its signature.
 
-    The signature is ``has`` and ``gaps`` (bit i: layer i covers the cell, has NODATA there), the values
-    ``v0..`` (0 where there is none) and ``shown`` (whether the mask shows the cell).  No part is NULL, so
+    The signature is ``has0..`` and ``gaps0..`` (bit i: layer i covers the cell, has NODATA there), the values
+    ``v0..`` (0 where there is none) and ``shown`` (whether the mask shows the cell).  Cells of tiles that the mask
+    lacks are left out.  No part is NULL, so
     it joins and groups by plain equality, and fixed-width aggregates keep it in a hash aggregate with
     map-side partials.
     """
-    if len(layers) > 62:
-        raise ValueError("signatures hold at most 62 layers")
     wanted = list(layers) + ([mask_layer] if mask_layer else [])
-    layer, value, bit = F.col("layer"), F.col("value"), _bits(layers)
+    layer, value = F.col("layer"), F.col("value")
     none = F.lit(0).cast("bigint")
-    aggs = [
-        F.coalesce(F.sum(bit), none).alias("has"),
-        F.coalesce(F.sum(F.when(value.isNull(), bit)), none).alias("gaps"),
-    ]
+    aggs = []
+    for w in _words(layers):
+        bit = _bits(layers, w)
+        aggs.append(F.coalesce(F.sum(bit), none).alias(f"has{w}"))
+        aggs.append(F.coalesce(F.sum(F.when(value.isNull(), bit)), none).alias(f"gaps{w}"))
     aggs += [F.coalesce(F.max(F.when(layer == name, value)), F.lit(0)).alias(f"v{i}") for i, name in enumerate(layers)]
-    aggs.append(F.count(F.when(layer == mask_layer, 1) if mask_layer else F.lit(1)).alias("mask_cells"))
     aggs.append(F.count(F.when(layer == mask_layer, value) if mask_layer else F.lit(1)).alias("mask_data"))
-    found = cells.filter(layer.isin(wanted)).groupBy(*place_keys(cells, "zoom", "gx", "gy")).agg(*aggs)
-    found = found.filter("has <> 0 AND mask_cells > 0").withColumn(SHOWN, F.col("mask_data") > 0)
+    chosen = cells.filter(layer.isin(wanted))
+    place = place_keys(cells, "zoom", "tc", "tr", "gx", "gy")
+    found = chosen.groupBy(*place).agg(*aggs)
+    found = found.filter(" OR ".join(f"has{w} <> 0" for w in _words(layers))).withColumn(SHOWN, F.col("mask_data") > 0)
+    if mask_layer:
+        tiles = mask_tiles(chosen, mask_layer)
+        found = found.join(tiles, tiles.columns, "left_semi")
     return found.select("zoom", "gx", "gy", *_key(layers))
 
 
@@ -73,8 +86,8 @@ def score_signatures(
     slots = [
         F.struct(
             F.lit(name).alias("layer"),
-            F.col("has").bitwiseAND(F.lit(1 << i)).alias("bit"),
-            F.when(F.col("gaps").bitwiseAND(F.lit(1 << i)) == 0, F.col(f"v{i}").cast("bigint")).alias("v"),
+            F.col(f"has{i // WORD}").bitwiseAND(F.lit(1 << i % WORD)).alias("bit"),
+            F.when(F.col(f"gaps{i // WORD}").bitwiseAND(F.lit(1 << i % WORD)) == 0, F.col(f"v{i}").cast("bigint")).alias("v"),
         )
         for i, name in enumerate(layers)
     ]
@@ -125,17 +138,19 @@ def scenario_zonal_summary(
     cells: DataFrame,
     edges: DataFrame,
     scenarios: DataFrame,
+    asked: DataFrame,
     grid: Grid,
     denominator: str = "tile_area",
 ) -> DataFrame:
-    """Scores of every zone under every scenario, with totals.
+    """Scores of the asked pairs ``(zone_id, scenario_id)``, with totals.
 
-    Sums and counts are made once per zone and layer; scenarios only weigh them.  Layers that a zone does
-    not meet, and zero weights, give no row.
+    Sums and counts are made once per zone and layer; scenarios only weigh them.  As in ``zonal_summary`` every
+    layer of a scenario has a row, with a NULL score where the zone meets no tile of it, and every pair a total.
     """
     ratios = layer_ratio(zonal_parts(cells, edges, grid), grid, edges, denominator)
-    weights = scenarios.filter(F.col("weight") != 0).select("scenario_id", "layer", "pos", "weight")
-    scored = fan_join(ratios, weights, ["layer"]).withColumn(
+    weights = scenarios.select("scenario_id", "layer", "pos", "weight")
+    pairs = fan_join(asked.select("zone_id", "scenario_id").distinct(), weights, ["scenario_id"])
+    scored = pairs.join(ratios, ["zone_id", "layer"], "left").withColumn(
         "nano", cellmath.nano(F.col("ratio") * F.col("weight"))
     )
     return with_total(scored, "zone_id", "scenario_id")

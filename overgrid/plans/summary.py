@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
 from overgrid.model import Grid
+from overgrid.operators.joins import fan_join
 from overgrid.operators.zonal import layer_ratio, zonal_parts
 
 TOTAL_LABEL, LAYER_LABEL = "Score:", "Layer:"
@@ -20,13 +21,15 @@ def zonal_summary(
     weights: Mapping[str, int],
     grid: Grid,
     denominator: str = "tile_area",
+    bounds: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
     """Per zone one row per layer and a total row: ``(zone_id, layer, is_total, pos, weight, score)``.
 
-    A layer of which the zone meets no tile has a NULL score and adds nothing to the total.
+    A layer of which the zone meets no tile has a NULL score and adds nothing to the total.  ``bounds`` around the
+    zones (``zone_bounds``) reach the scan.
     """
     chosen = cells.filter(F.col("layer").isin(list(weights)))
-    ratios = layer_ratio(zonal_parts(chosen, edges, grid), grid, edges, denominator)
+    ratios = layer_ratio(zonal_parts(chosen, edges, grid, bounds), grid, edges, denominator)
     # Fixed, literal list of the request's layers; an explode inside each zone row, not a join.
     request = F.array(
         *[
@@ -57,7 +60,7 @@ def summary_report(summary: DataFrame, config: DataFrame) -> DataFrame:
     ``config`` is ``(layer, display)``; a layer without display name is labelled "Layer:".
     """
     names = config.select("layer", "display")
-    named = summary.join(names, "layer", "left")
+    named = fan_join(summary, names, ["layer"], "left")
     total = F.col("is_total") == 1
     label = F.when(total, F.lit(TOTAL_LABEL)).otherwise(F.coalesce("display", F.lit(LAYER_LABEL)))
     # Whole hundredths of a percent-like score, rounded half away from zero.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from overgrid.functions.projection import Albers
 from overgrid.model import Grid
 from overgrid.operators import grid as grid_ops
+from overgrid.operators.tiles import densify_tiles
 from overgrid.sources.store import storage_path, write_layer
 
 MERCATOR, LONLAT, CONIC = "EPSG:3857", "EPSG:4326", "albers"
@@ -43,7 +44,9 @@ def to_mercator(points: DataFrame, crs: str) -> DataFrame:
         return points
     if crs == CONIC:
         lon, lat = Albers().inverse(F.col("x"), F.col("y"))
-        points = points.withColumns({"lon": lon, "lat": lat})
+        rest = [c for c in points.columns if c not in ("x", "y")]
+        # The generator keeps the optimizer from copying the long formulas into every later use of x and y.
+        points = points.select(*rest, F.inline_outer(F.array(F.struct(lon.alias("lon"), lat.alias("lat")))))
     elif crs == LONLAT:
         points = points.withColumnsRenamed({"x": "lon", "y": "lat"})
     else:
@@ -54,16 +57,26 @@ def to_mercator(points: DataFrame, crs: str) -> DataFrame:
 def ingest_layers(
     spark: SparkSession, sources: Sequence[Mapping], grid: Grid, pyramid: bool = True, to_zoom: int = 0
 ) -> DataFrame:
-    """Read all sources, put their samples on the grid (nearest sample per cell) and add coarser zooms."""
-    points = reduce(DataFrame.unionByName, [read_source(spark, s) for s in sources])
-    base = grid_ops.resample_nearest(points, grid, "sample_id")
-    return grid_ops.pyramid(base, grid, to_zoom) if pyramid else base
+    """Read all sources, put their samples on the grid (nearest sample per cell) and add coarser zooms.
+
+    A source may tell the side of its own cells as ``cellSize`` (metres).  Tiles are dense at every zoom: cells of a
+    tile that no sample reaches are NODATA, and so are the parents of such cells.
+    """
+    bases = []
+    for size in sorted({s.get("cellSize") for s in sources}, key=lambda x: (x is not None, x)):
+        points = reduce(DataFrame.unionByName, [read_source(spark, s) for s in sources if s.get("cellSize") == size])
+        bases.append(grid_ops.resample_nearest(points, grid, "sample_id", size))
+    base = densify_tiles(reduce(DataFrame.unionByName, bases), grid)
+    return densify_tiles(grid_ops.pyramid(base, grid, to_zoom), grid) if pyramid else base
 
 
 def run_ingest(spark: SparkSession, sources: Sequence[Mapping], output: Mapping) -> None:
-    """Ingest into a store as ``{backend: {type, path}, tileSize, cellSize: {width}, pyramid}`` asks."""
+    """Ingest into a store as ``{backend: {type, path}, tileSize, cellSize: {width}, pyramid, partitions}`` asks.
+
+    ``partitions`` is the number of files' worth of work; give one for every few hundred MB.
+    """
     tile = int(output.get("tileSize", 256))
     width = float(output["cellSize"]["width"])
     zoom = min(range(31), key=lambda z: (abs(Grid(tile, z).cell_size - width), z))
     cells = ingest_layers(spark, sources, Grid(tile, zoom), bool(output.get("pyramid", True)))
-    write_layer(cells, storage_path(output["backend"]["type"], output["backend"]["path"]))
+    write_layer(cells, storage_path(output["backend"]["type"], output["backend"]["path"]), partitions=output.get("partitions"))

@@ -50,7 +50,10 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> None:
-    """Apply ``SETTINGS`` to the session, except where it has its own values."""
+    """Apply ``SETTINGS`` to the session, except where it has its own values.
+
+    They change how every later query of the session is planned, so nothing in the library calls this.
+    """
     defaults = {
         "spark.sql.sources.fileCompressionFactor": "1.0",
         "spark.sql.requireAllClusterKeysForCoPartition": "true",
@@ -74,18 +77,26 @@ def write_buckets(cells: DataFrame, table: str, path: str, buckets: int) -> None
 
 
 def open_buckets(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
-    """A table of ``write_buckets``, also from another session; the column ``z`` stays, see ``place_keys``."""
-    tune(spark)
+    """A table of ``write_buckets``, also from another session; the column ``z`` stays, see ``place_keys``.
+
+    A table of that name at another place, or with another number of buckets, is an error.
+    """
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} (layer STRING, zoom INT, tc INT, tr INT, gx INT, gy INT, value INT, z BIGINT)"
         f" USING parquet CLUSTERED BY (z) SORTED BY (zoom, layer, z) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    if _plain(told["Location"]) != _plain(path) or told["Num Buckets"] != str(buckets):
+        raise ValueError(f"{table} is at {told['Location']} in {told['Num Buckets']} buckets, not at {path} in {buckets}")
     return spark.table(table).select(*CELL_KEYS, "value", "z")
 
 
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").replace("//", "/").rstrip("/")
+
+
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """All cells of a store.  The schema is fixed, so layer names such as ``01`` stay strings."""
-    tune(spark)
     schema = "tc INT, tr INT, gx INT, gy INT, value INT, z BIGINT, layer STRING, zoom INT"
     return spark.read.schema(schema).parquet(path).select(*CELL_KEYS, "value")
 
@@ -151,6 +162,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        # A folder of this machine alone would lose data on a cluster: that is an error, not a fallback.
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="overgrid-")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from overgrid.model import Grid
+from overgrid.model import WORLD_HALF, Grid
 from overgrid.operators import color, grid as grid_ops, local, requests, stats, tiles
 from overgrid.plans import overlay, scenarios
 
@@ -208,3 +208,72 @@ def test_albers_known_point(spark):
     sphere = Albers().forward_sphere(F.col("lon"), F.col("lat"), 1.0)
     r = df.select(sphere[0].alias("x"), sphere[1].alias("y")).first()
     assert abs(r["x"] - 0.2952720) < 1e-6 and abs(r["y"] - 0.2416774) < 1e-6
+
+
+def test_sparse_mask_is_read_by_tile(make_cells):
+    cells = make_cells({"a": [[1, 1]], "mask": [[1, "-"]]}, G)
+    want = {(0, 0): 1, (1, 0): None}
+    assert values(overlay.weighted_overlay(cells, {"a": 1}, G)) == want
+    layer, mask = cells.filter("layer = 'a'"), cells.filter("layer = 'mask'")
+    assert values(local.local_mask(local.local_add(layer), mask)) == want
+
+
+def test_pack_keeps_the_places_of_sparse_cells(make_cells):
+    cells = make_cells({"a": [["-"] * 4, ["-", 7, "-", None], ["-"] * 4, ["-", "-", "-", 9]]}, G)
+    packed = tiles.pack_tiles(cells, G)
+    assert packed.first()["cells"] == [7 if i == 5 else 9 if i == 15 else None for i in range(16)]
+    back = values(tiles.unpack_tiles(packed, G))
+    assert len(back) == 16 and {k: v for k, v in back.items() if v is not None} == {(1, 1): 7, (3, 3): 9}
+
+
+def test_repeated_cells_count_once(make_cells):
+    cells = make_cells({"a": [["-", 1]]}, G).union(make_cells({"a": [["-", 5]]}, G)).union(make_cells({"a": [["-", "-", 2]]}, G))
+    dense = tiles.densify_tiles(cells, G)
+    assert dense.count() == 16 and values(dense)[1, 0] == 5 and values(dense)[2, 0] == 2
+    assert tiles.pack_tiles(cells, G).first()["cells"][:3] == [None, 5, 2]
+
+
+def test_points_without_a_place_are_dropped_and_counted(spark):
+    rows = [("a", 0.0, 0.0), ("a", float("nan"), 0.0), ("a", 0.0, None), ("a", 3e7, 0.0), ("b", 1.0, float("nan"))]
+    points = spark.createDataFrame(rows, "layer string, x double, y double")
+    assert grid_ops.assign_tile_key(points, Grid(4, 2)).count() == 1
+    got = {r["layer"]: (r["points"], r["not_numbers"], r["off_world"]) for r in grid_ops.count_dropped(points, Grid(4, 2)).collect()}
+    assert got == {"a": (4, 2, 1), "b": (1, 1, 0)}
+
+
+def test_coarse_sources_leave_no_hole(spark):
+    g = Grid(tile=4, zoom=2)
+    side = 4 * g.cell_size
+    rows = [("a", i * 4 + j, (i + 0.5) * side, (j + 0.5) * side, i * 4 + j) for i in range(-2, 2) for j in range(-2, 2)]
+    points = spark.createDataFrame(rows, "layer string, id int, x double, y double, value int")
+    cells = grid_ops.resample_nearest(points, g, "id", source_cell=side)
+    got = values(cells)
+    assert len(got) == 16 * 16
+    assert all(v == (x // 4 - 2) * 4 + (1 - y // 4) for (x, y), v in got.items())
+    assert grid_ops.resample_nearest(points, g, "id").count() == 16
+
+
+def test_poles_are_taken_as_the_border_of_the_world(spark):
+    rows = grid_ops.reproject_points(spark.createDataFrame([(0.0, -90.0), (0.0, 90.0), (0.0, 85.0)], "lon double, lat double")).collect()
+    assert [round(r["y"] / WORLD_HALF, 9) for r in rows][:2] == [-1.0, 1.0] and rows[2]["y"] < WORLD_HALF
+
+
+def test_empty_entries_at_the_end_do_not_count(spark):
+    table = spark.createDataFrame([(1, "A,B,", "1,2,"), (2, "A", " 1"), (3, ",", "1"), (4, "A,,B", "1,,2")], "req int, layers string, weights string")
+    got = [(r["req"], r["layer"], r["weight"]) for r in requests.layer_weight_pairs(table).orderBy("req", "pos").collect()]
+    assert got == [(1, "A", 1), (1, "B", 2), (2, "A", None), (4, "A", 1), (4, "", None), (4, "B", 2)]
+
+
+def test_more_layers_than_a_word_has_bits(spark, make_cells):
+    names = [f"l{i:03d}" for i in range(70)]
+    cells = make_cells({n: [[i % 3, None if i == 65 else 1]] for i, n in enumerate(names)}, G)
+    table = spark.createDataFrame([(1, n, 1) for n in names] + [(2, names[69], 5)], "scenario_id int, layer string, weight int")
+    over = values(scenarios.scenario_overlay(cells, names, table, G, mask_layer=None), "scenario_id", "gx", "gy")
+    assert over == {(1, 0, 0): sum(i % 3 for i in range(70)), (1, 1, 0): None, (2, 0, 0): 0, (2, 1, 0): 5}
+
+
+def test_keys_of_mixed_zooms(spark):
+    keys = spark.createDataFrame([(0, 0, 0), (1, 1, 1)], "zoom int, tc int, tr int")
+    rows = grid_ops.key_to_extent(keys, Grid(256, 9)).orderBy("zoom").collect()
+    assert (rows[0]["xmin"], rows[0]["ymax"], rows[0]["xmax"]) == (-WORLD_HALF, WORLD_HALF, WORLD_HALF)
+    assert (rows[1]["xmin"], rows[1]["ymax"], rows[1]["xmax"]) == (0.0, 0.0, WORLD_HALF)

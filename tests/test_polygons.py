@@ -6,8 +6,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from overgrid.model import Grid
 from overgrid.operators import vector, zonal
+from overgrid.operators.vector import polygon_edges
 from overgrid.plans import summary
 from overgrid.sources import store
 
@@ -154,8 +157,49 @@ def test_bucketed_store_gives_the_same(spark, make_cells, edges, tmp_path):
         lambda c: store.layer_metadata(c),
     ):
         assert sorted(map(str, build(held).collect())) == sorted(map(str, build(cells).collect()))
-    plan = overlay.weighted_overlay(held, {"a": 1, "b": 2}, G)._jdf.queryExecution().executedPlan().toString()
+    plan = overlay.weighted_overlay(held, {"a": 1, "b": 2}, G, dense=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    plan = overlay.weighted_overlay(held, {"a": 1, "b": 2}, G)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    with pytest.raises(ValueError):
+        store.open_buckets(spark, "bucket_test", str(tmp_path / "elsewhere"), 4)
+    spark.sql("DROP TABLE bucket_test")
+
+
+def test_one_polygon_reads_its_tiles_alone(spark, make_cells, tmp_path):
+    """Tile bounds reach both scans of the store, and only tiles of the cover are shuffled."""
+    far = make_cells(random_layers(4), G).union(make_cells(random_layers(4), G, left=128, top=128))
+    store.write_layer(far, str(tmp_path / "layers"))
+    cells = store.open_store(spark, str(tmp_path / "layers"))
+    one = polygon_edges(spark.createDataFrame([(1, [[(2.2, 2.1), (30.5, 4.0), (12.0, 28.7)]])], "zone_id long, rings array<array<struct<x: double, y: double>>>"))
+    bounds = zonal.zone_bounds(one, G)
+    assert bounds == (0, 0, 30 // G.tile, 28 // G.tile)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    parts = zonal.zonal_parts(cells, one, G, bounds)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, zonal.zonal_parts(far, one, G).collect()))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert scans and all("GreaterThanOrEqual(tc,0)" in s and f"LessThanOrEqual(tr,{bounds[3]})" in s for s in scans)
+
+
+def test_many_zones_over_one_tile(spark, make_cells):
+    cells = make_cells(random_layers(1), G)
+    rng = random.Random(5)
+    rings = [(k, [[(rng.uniform(0, G.tile), rng.uniform(0, G.tile)) for _ in range(3)]]) for k in range(300)]
+    zones = polygon_edges(spark.createDataFrame(rings, "zone_id long, rings array<array<struct<x: double, y: double>>>"))
+    got = {(r["zone_id"], r["layer"]): r["total"] for r in zonal.zonal_sum(cells, zones, G).collect()}
+    inside = vector.polygon_to_cells(zones, G).join(cells, ["gx", "gy"]).groupBy("zone_id", "layer").agg(F.sum("value").alias("t"))
+    want = {(r["zone_id"], r["layer"]): r["t"] for r in inside.collect()}
+    assert {k: v for k, v in got.items() if k in want} == want and all(v is None for k, v in got.items() if k not in want)
+
+
+def test_zones_need_an_id(spark):
+    from pyspark.errors import PySparkException
+
+    rings = spark.createDataFrame([(None, [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]])], "zone_id long, rings array<array<struct<x: double, y: double>>>")
+    with pytest.raises(PySparkException):
+        polygon_edges(rings).collect()
 
 
 def test_geojson_forms(spark):

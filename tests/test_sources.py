@@ -74,9 +74,10 @@ def test_ingest_from_files_to_a_store(spark, tmp_path):
     ingest.run_ingest(spark, [source, conic], output)
     back = store.open_store(spark, str(tmp_path / "out"))
     meta = {(r["layer"], r["zoom"]): r for r in store.layer_metadata(back).collect()}
-    assert meta[("wet", 9)]["cells"] == 2 and meta[("wet", 0)]["cells"] == 2
-    assert meta[("dry", 9)]["cells"] == 1 and set(z for _, z in meta) == set(range(10))
-    first = back.filter("layer = 'wet' AND zoom = 9 AND gx < 60000").collect()
+    assert meta[("wet", 9)]["data_cells"] == 2 and meta[("dry", 9)]["data_cells"] == 1
+    assert set(z for _, z in meta) == set(range(10)) and meta[("wet", 0)]["tiles"] == 1
+    assert all(m["cells"] == m["tiles"] * 256 * 256 for m in meta.values()), "tiles are dense at every zoom"
+    first = back.filter("layer = 'wet' AND zoom = 9 AND gx < 60000 AND value IS NOT NULL").collect()
     assert [r["value"] for r in first] == [1]
     with pytest.raises(ValueError):
         ingest.read_source(spark, source | {"crs": "EPSG:1"})

@@ -48,9 +48,9 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense mask layer: 1 inside one disc per 128 x 128 cells, NODATA outside, some tiles left out."""
+    """Mask layer: 1 inside one disc per 128 x 128 cells, NODATA outside, some tiles and some cells left out."""
     spread = table(spark, sf, "orders").select(F.expr("explode(array(o_orderkey * 4, o_orderkey * 4 + 1, o_orderkey * 4 + 2, o_orderkey * 4 + 3))").alias("p"))
-    placed = _on_map(spread).filter("(tc * 7 + tr * 3) % 11 <> 0")
+    placed = _on_map(spread).filter("(tc * 7 + tr * 3) % 11 <> 0 AND (gx * 5 + gy * 3) % 41 <> 0")
     disc = "CASE WHEN (gx % 128 - 64) * (gx % 128 - 64) + (gy % 128 - 64) * (gy % 128 - 64) < 3600 THEN 1 END"
     return placed.withColumns({"layer": F.lit("mask"), "value": F.expr(disc)}).select(*CELL_KEYS, "value")
 
@@ -80,15 +80,24 @@ def scenarios(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("weight", F.expr("CAST((scenario_id * 3 + pos * 5) % 11 - 5 AS INT)"))
 
 
+def asked_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Three scenarios asked for each zone."""
+    rows = table(spark, sf, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS zone_id", "explode(sequence(0, 2)) AS j")
+    return rows.selectExpr("zone_id", "CAST((zone_id * 7 + j * 3) % 25 AS INT) AS scenario_id")
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """One request per customer: lists of 3/3, 2/3 and 4/3 entries, a wished ramp, a number of breaks."""
     ramps = F.array(*[F.lit(r) for r in RAMP_WISHES])
     return table(spark, sf, "customer").select(
         F.col("c_custkey").cast("bigint").alias("req_id"),
-        F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'AF,NF,RF' WHEN c_custkey % 3 = 1 THEN 'RO,AO' ELSE 'NO,AF,RO,NF' END").alias("layers"),
+        F.expr(
+            "concat(CASE WHEN c_custkey % 3 = 0 THEN 'AF,NF,RF' WHEN c_custkey % 3 = 1 THEN 'RO,AO' ELSE 'NO,AF,RO,NF' END,"
+            " CASE WHEN c_custkey % 11 = 0 THEN ',' ELSE '' END)"
+        ).alias("layers"),
         F.expr(
             "concat(CAST(c_custkey % 5 - 2 AS STRING), CASE WHEN c_custkey % 7 = 0 THEN ',x,' ELSE ',3,' END,"
-            " CAST(1 + c_custkey % 4 AS STRING))"
+            " CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE '' END, CAST(1 + c_custkey % 4 AS STRING), CASE WHEN c_custkey % 13 = 0 THEN ',,' ELSE '' END)"
         ).alias("weights"),
         F.expr("CAST(1 + c_custkey % 13 AS INT)").alias("num_breaks"),
         F.get(ramps, F.expr("CAST(c_custkey % 5 AS INT)")).alias("color_ramp"),
@@ -165,7 +174,7 @@ CTES: dict[str, tuple[list[str], str]] = {
   cast(case when (gx % 128 - 64) * (gx % 128 - 64) + (gy % 128 - 64) * (gy % 128 - 64) < 3600 then 1 end as int) as value
 from (select gx, gy, cast(floor(gx / 32e0) as int) as tc, cast(floor(gy / 32e0) as int) as tr
   from (select {_place('o_orderkey * 4 + j')} from orders cross join (values (0), (1), (2), (3)) as q(j)) a) b
-where (tc * 7 + tr * 3) % 11 <> 0""",
+where (tc * 7 + tr * 3) % 11 <> 0 and (gx * 5 + gy * 3) % 41 <> 0""",
     ),
     "weights": ([], f"select * from {_values(_WEIGHT_ROWS, 'layer, pos, weight')} w"),
     "vertices": (
@@ -227,11 +236,16 @@ union select zone_id, cast(floor(gx / 32e0) as int), cast(floor(gy / 32e0) as in
         f"""select n_nationkey as scenario_id, layer, pos, cast((n_nationkey * 3 + pos * 5) % 11 - 5 as int) as weight
 from nation cross join {_values(_LAYER_ROWS, 'layer, pos')} w""",
     ),
+    "asked": (
+        [],
+        "select cast(s_suppkey as bigint) as zone_id, cast((s_suppkey * 7 + j * 3) % 25 as int) as scenario_id from supplier cross join (values (0), (1), (2)) as q(j)",
+    ),
     "requests": (
         [],
         f"""select cast(c_custkey as bigint) as req_id,
-  case when c_custkey % 3 = 0 then 'AF,NF,RF' when c_custkey % 3 = 1 then 'RO,AO' else 'NO,AF,RO,NF' end as layers,
-  concat(cast(c_custkey % 5 - 2 as varchar), case when c_custkey % 7 = 0 then ',x,' else ',3,' end, cast(1 + c_custkey % 4 as varchar)) as weights,
+  concat(case when c_custkey % 3 = 0 then 'AF,NF,RF' when c_custkey % 3 = 1 then 'RO,AO' else 'NO,AF,RO,NF' end, case when c_custkey % 11 = 0 then ',' else '' end) as layers,
+  concat(cast(c_custkey % 5 - 2 as varchar), case when c_custkey % 7 = 0 then ',x,' else ',3,' end,
+    case when c_custkey % 17 = 0 then ' ' else '' end, cast(1 + c_custkey % 4 as varchar), case when c_custkey % 13 = 0 then ',,' else '' end) as weights,
   cast(1 + c_custkey % 13 as int) as num_breaks, case c_custkey % 5 {_RAMP_CASE} end as color_ramp from customer""",
     ),
     "wanted": (

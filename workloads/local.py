@@ -96,14 +96,15 @@ def local_mask(spark, sf):
     "local_mask_values",
     sql(
         """select c.layer, c.zoom, c.tc, c.tr, c.gx, c.gy, cast(case when m.value = 1 then -9 else c.value end as bigint) as value
-from cells c join mask m on m.gx = c.gx and m.gy = c.gy""",
+from cells c join (select distinct tc, tr from mask) t on c.tc = t.tc and c.tr = t.tr
+left join mask m on m.gx = c.gx and m.gy = c.gy""",
         "cells",
         "mask",
     ),
 )
 def local_mask_values(spark, sf):
     """Other parameters: write -9 where the mask is 1."""
-    return local.local_mask(fx.cells(spark, sf), fx.mask(spark, sf), read_mask=1, write_mask=-9, dense=True).select(*CELL)
+    return local.local_mask(fx.cells(spark, sf), fx.mask(spark, sf), read_mask=1, write_mask=-9).select(*CELL)
 
 
 @query(
@@ -122,9 +123,10 @@ def zero_to_nodata(spark, sf):
     return local.zero_to_nodata(fx.cells(spark, sf)).select(*CELL)
 
 
-_PAIRS = """+pairs as (select req_id, cast(i - 1 as int) as pos, string_split(layers, ',')[i] as layer,
-  try_cast(string_split(weights, ',')[i] as int) as weight
-  from (select *, unnest(range(1, 1 + least(len(string_split(layers, ',')), len(string_split(weights, ','))))) as i from requests) r)
+_PAIRS = """+cut as (select * replace (rtrim(layers, ',') as layers, rtrim(weights, ',') as weights) from requests),
+pairs as (select req_id, cast(i - 1 as int) as pos, string_split(layers, ',')[i] as layer,
+  case when regexp_full_match(string_split(weights, ',')[i], '[+-]?[0-9]+') then try_cast(string_split(weights, ',')[i] as int) end as weight
+  from (select *, unnest(range(1, 1 + least(len(string_split(layers, ',')), len(string_split(weights, ','))))) as i from cut) r)
 """
 
 
@@ -163,7 +165,7 @@ def weight_label(spark, sf):
 _OVERLAY = """select s.zoom, s.tc, s.tr, s.gx, s.gy, case when m.value is not null then s.value end as value from (
   select zoom, tc, tr, gx, gy, case when count(value) < count(*) then null else cast(sum(value * weight) as bigint) end as value
   from cells join weights using (layer) where weight <> 0 group by zoom, tc, tr, gx, gy) s
-join mask m on m.gx = s.gx and m.gy = s.gy"""
+join (select distinct tc, tr from mask) t on t.tc = s.tc and t.tr = s.tr left join mask m on m.gx = s.gx and m.gy = s.gy"""
 
 
 @query("weighted_overlay", sql(_OVERLAY, "cells", "weights", "mask"))

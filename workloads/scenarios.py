@@ -16,7 +16,7 @@ _SUMS = """select scenario_id, zoom, tc, tr, gx, gy, case when count(value) < co
     "scenario_overlay",
     sql(
         f"""select s.scenario_id, s.zoom, s.tc, s.tr, s.gx, s.gy, case when m.value is not null then s.value end as value
-from ({_SUMS}) s join mask m on m.gx = s.gx and m.gy = s.gy""",
+from ({_SUMS}) s join (select distinct tc, tr from mask) t on t.tc = s.tc and t.tr = s.tr left join mask m on m.gx = s.gx and m.gy = s.gy""",
         "cells",
         "mask",
         "scenarios",
@@ -47,12 +47,17 @@ def scenario_breaks(spark, sf):
     sql(
         _PARTS
         + """,scored as (select zone_id, scenario_id, layer, s.pos, s.weight,
-  cast(floor(total / cast(cell_count as double) * s.weight * 1e9) as bigint) as nano from ratios join scenarios s using (layer) where s.weight <> 0)
+  cast(floor(total / cast(cell_count as double) * s.weight * 1e9) as bigint) as nano
+  from asked join scenarios s using (scenario_id) left join ratios using (zone_id, layer))
 select zone_id, scenario_id, layer, pos, weight, 0 as is_total, nano / 1e9 as score from scored
-union all select zone_id, scenario_id, null, null, null, 1, cast(sum(nano) as bigint) / 1e9 from scored group by zone_id, scenario_id""",
+union all select zone_id, scenario_id, null, null, null, 1, cast(coalesce(sum(nano), 0) as bigint) / 1e9 from scored group by zone_id, scenario_id""",
         *_NEEDS,
         "scenarios",
+        "asked",
     ),
 )
 def scenario_zonal_summary(spark, sf):
-    return scenarios.scenario_zonal_summary(fx.cells(spark, sf), fx.edges(spark, sf), fx.scenarios(spark, sf), fx.GRID)
+    """Three scenarios for each zone."""
+    return scenarios.scenario_zonal_summary(
+        fx.cells(spark, sf), fx.edges(spark, sf), fx.scenarios(spark, sf), fx.asked_pairs(spark, sf), fx.GRID
+    )

@@ -14,7 +14,7 @@ from workloads.local import _OVERLAY
 from workloads.registry import query
 
 CELL = ["layer", "zoom", "tc", "tr", "gx", "gy", "value"]
-INGEST_GRID = Grid(tile=64, zoom=7)
+INGEST_GRID = Grid(tile=8, zoom=10)
 
 
 def sources(sf: str) -> list[dict]:
@@ -58,12 +58,18 @@ raw as (select 'clicks' as layer, event_id as id, x, y, cast(floor(value) as int
   union all select 'accounts', c_custkey, c_custkey * 7919 % 1000003 * 11e0 - 9000000e0, c_custkey * 104729 % 1000003 * 7e0 - 3000000e0,
     cast(nullif(c_custkey % 5, 3) as int) from customer),
 placed as (select layer, id, value, {_GX} as px, {_GY} as py from raw),
-base as (select layer, 7 as zoom, cast(floor(px) as int) as gx, cast(floor(py) as int) as gy, value from (
+samples as (select layer, cast(floor(px) as int) as gx, cast(floor(py) as int) as gy, value from (
   select *, row_number() over (partition by layer, floor(px), floor(py)
     order by pow(px - floor(px) - 0.5e0, 2) + pow(py - floor(py) - 0.5e0, 2), id) as rn from placed) r where rn = 1),
+dense as (select layer, cast(tc * 8 + i % 8 as int) as gx, cast(tr * 8 + (i - i % 8) / 8 as int) as gy
+  from (select distinct layer, gx // 8 as tc, gy // 8 as tr from samples) t cross join (select unnest(range(64)) as i) r),
+base as (select layer, 10 as zoom, gx, gy, value from dense left join samples using (layer, gx, gy)),
 """
         + _LEVELS.lstrip("+")
-        + "select layer, zoom, cast(floor(gx / 64e0) as int) as tc, cast(floor(gy / 64e0) as int) as tr, gx, gy, value from levels",
+        + """,present as (select distinct layer, zoom, gx // 8 as tc, gy // 8 as tr from levels),
+whole as (select layer, zoom, cast(tc as int) as tc, cast(tr as int) as tr, cast(tc * 8 + i % 8 as int) as gx, cast(tr * 8 + (i - i % 8) / 8 as int) as gy
+  from present cross join (select unnest(range(64)) as i) r)
+select w.*, l.value from whole w left join levels l using (layer, zoom, gx, gy)""",
         "points",
     ),
 )

@@ -100,7 +100,7 @@ def zonal_sum(spark, sf):
 
 @query("cell_count", sql(_PARTS + "select zone_id, layer, cell_count from ratios", *_NEEDS))
 def cell_count(spark, sf):
-    return zonal.cell_count(_parts(spark, sf), fx.GRID)
+    return zonal.cell_count(zonal.tile_counts(fx.cells(spark, sf), fx.edges(spark, sf), fx.GRID), fx.GRID)
 
 
 @query("layer_ratio", sql(_PARTS + "select *, total / cast(cell_count as double) as ratio from ratios", *_NEEDS))
