@@ -6,7 +6,7 @@ from workloads import registry
 
 
 def _load() -> None:
-    from workloads import colors, gridding, local, scenarios, store, zones  # noqa: F401
+    from workloads import colors, gridding, local, scenarios, store, sums, zones  # noqa: F401
 
 
 def all_queries() -> dict[str, registry.Query]:
