@@ -18,23 +18,31 @@ def histogram_exact(cells: DataFrame, by: tuple[str, ...] = (), weight: Column |
 def cumulate(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``before`` and ``upto``, the counts of smaller and of not larger values, and ``total``.
 
-    Two steps: running sums over the totals of value ranges, then over the values inside each range.
+    Running sums over the totals of value ranges come first, then those over the values inside each range.  The
+    ranges of 64-bit values are themselves cut in ranges, up to four steps, so no window sees more than 2^16 rows.
     """
     ranged = hist.withColumn("_range", F.shiftright(F.col("value").cast("bigint"), RANGE_BITS))
-    sums = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
-    over_ranges = Window.partitionBy(*by).orderBy("_range")
-    sums = sums.select(
-        *by,
-        "_range",
-        (F.sum("_n").over(over_ranges) - F.col("_n")).alias("_base"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("total"),
-    )
+    steps = 3 if dict(hist.dtypes)["value"] == "bigint" else 1
+    sums = _bases(ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n")), by, steps)
     running = F.sum("n").over(Window.partitionBy(*by, "_range").orderBy("value"))
     inner = ranged.withColumn("_run", running).join(sums, [*by, "_range"])
     upto = F.col("_base") + F.col("_run")
     return inner.withColumns({"upto": upto, "before": upto - F.col("n")}).drop("_range", "_base", "_run")
 
 
+def _bases(sums: DataFrame, by: tuple[str, ...], steps: int) -> DataFrame:
+    """``(*by, _range, _base, total)`` from the totals ``_n`` of ranges: base counts all smaller ranges."""
+    if steps == 1:
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+        return sums.select(*by, "_range", before.alias("_base"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))
+    wide = sums.withColumn("_wide", F.shiftright("_range", RANGE_BITS))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_wide").orderBy("_range")) - F.col("_n")
+    above = _bases(wide.groupBy(*by, F.col("_wide").alias("_range")).agg(F.sum("_n").alias("_n")), by, steps - 1)
+    above = above.withColumnsRenamed({"_range": "_wide", "_base": "_above"})
+    joined = wide.withColumn("_inside", inside).join(above, [*by, "_wide"])
+    return joined.select(*by, "_range", (F.col("_above") + F.col("_inside")).alias("_base"), "total")
+
+
 def quantile_breaks(hist: DataFrame, n: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, k, brk)`` for k = 1..n: the smallest value that at least k/n of the cells do not exceed.
 

@@ -120,10 +120,12 @@ def scenario_overlay(
 
 
 def scenario_breaks(
-    cells: DataFrame, layers: Sequence[str], scenarios: DataFrame, num_breaks: int, zoom: int
+    cells: DataFrame, layers: Sequence[str], scenarios: DataFrame, num_breaks: int | DataFrame, zoom: int
 ) -> DataFrame:
     """Quantile breaks ``(scenario_id, k, brk)`` of every scenario's unmasked overlay.
 
+    ``num_breaks`` is one number for all, or a table ``(scenario_id, num_breaks)``.
+
     Everything after the count per signature is as small as the number of signatures.
     """
     key = _key(layers)
@@ -131,6 +133,9 @@ def scenario_breaks(
     counted = signatures(typed, layers).groupBy(*key).agg(F.count(F.lit(1)).alias("cells"))
     scored = score_signatures(counted, layers, scenarios, keep=("cells",))
     hist = histogram_exact(scored, ("scenario_id",), weight=F.col("cells"))
+    if isinstance(num_breaks, DataFrame):
+        hist = fan_join(hist, num_breaks.select("scenario_id", "num_breaks"), ["scenario_id"])
+        return quantile_breaks(hist, "num_breaks", ("scenario_id",))
     return quantile_breaks(hist, num_breaks, ("scenario_id",))
 
 

@@ -1,7 +1,9 @@
-"""The route of sums as a table of requests: a polygon, layers and weights in, scores out."""
+"""The routes of sums and breaks as tables of requests: text in, scores or class breaks out."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from overgrid.model import Grid
 from overgrid.operators.requests import layer_weight_pairs
 from overgrid.operators.vector import parse_geojson, polygon_edges, polygon_to_pixels, reproject_polygon
 from overgrid.operators.zonal import layer_ratio, zonal_parts
+from overgrid.plans.scenarios import scenario_breaks
 
 
 def request_summary(cells: DataFrame, requests: DataFrame, grid: Grid, denominator: str = "tile_area") -> DataFrame:
@@ -36,3 +39,14 @@ def request_summary(cells: DataFrame, requests: DataFrame, grid: Grid, denominat
         none.cast("int").alias("weight"), F.when(F.col("is_valid"), F.coalesce("nano", F.lit(0)) / 1e9).alias("score"),
     )
     return detail.unionByName(total)
+
+
+def request_breaks(cells: DataFrame, requests: DataFrame, layers: Sequence[str], zoom: int) -> DataFrame:
+    """``(req_id, k, brk)`` for requests ``(req_id, layers, weights, num_breaks)``, each with its own number of breaks.
+
+    ``layers`` are the layers of the store that requests may name; others, and weights that are no number, are left out.
+    """
+    pairs = layer_weight_pairs(requests.select("req_id", "layers", "weights"))
+    weights = pairs.filter(F.col("layer").isin(list(layers))).select(F.col("req_id").alias("scenario_id"), "layer", "weight")
+    counts = requests.select(F.col("req_id").alias("scenario_id"), "num_breaks")
+    return scenario_breaks(cells, layers, weights, counts, zoom).withColumnRenamed("scenario_id", "req_id")

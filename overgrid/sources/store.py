@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overgrid.model import CELL_KEYS, place_keys
+from overgrid.model import CELL_KEYS, WORLD_HALF, place_keys
 from overgrid.operators.grid import z_order_key
 
 # The storage kinds that are plain paths, and their URI schemes.
@@ -127,8 +127,9 @@ def missing_tiles(cells: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(cells.select(*on).distinct(), on, "left_anti")
 
 
-def layer_metadata(cells: DataFrame) -> DataFrame:
-    """Per layer and zoom: key bounds, pixel bounds, tiles, cells and data cells.
+def layer_metadata(cells: DataFrame, tile: int | None = None) -> DataFrame:
+    """Per layer and zoom: key bounds, pixel bounds, tiles, cells and data cells; with the tile side also the map
+    extent ``xmin, ymin, xmax, ymax`` of its cells.
 
     Counting goes tile by tile first, so that no task sees more than the tiles of one layer.
     """
@@ -140,7 +141,7 @@ def layer_metadata(cells: DataFrame) -> DataFrame:
         F.max("gx").alias("x1"),
         F.max("gy").alias("y1"),
     )
-    return tiles.groupBy("layer", "zoom").agg(
+    told = tiles.groupBy("layer", "zoom").agg(
         F.min("tc").alias("c0"),
         F.min("tr").alias("r0"),
         F.max("tc").alias("c1"),
@@ -153,6 +154,17 @@ def layer_metadata(cells: DataFrame) -> DataFrame:
         F.sum("n").alias("cells"),
         F.sum("d").alias("data_cells"),
     )
+    if tile is None:
+        return told
+    side = F.lit(2 * WORLD_HALF / tile) / F.expr("shiftleft(1L, zoom)")
+    return told.withColumns(
+        {
+            "xmin": F.col("gx0") * side - WORLD_HALF,
+            "ymin": WORLD_HALF - (F.col("gy1") + 1) * side,
+            "xmax": (F.col("gx1") + 1) * side - WORLD_HALF,
+            "ymax": WORLD_HALF - F.col("gy0") * side,
+        }
+    )
 
 
 def shared_folder(spark: SparkSession) -> str:

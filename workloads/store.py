@@ -134,14 +134,17 @@ def missing_tiles(spark, sf):
     "layer_metadata",
     sql(
         """select layer, zoom, min(tc) as c0, min(tr) as r0, max(tc) as c1, max(tr) as r1, min(gx) as gx0, min(gy) as gy0,
-  max(gx) as gx1, max(gy) as gy1, count(distinct (tc, tr)) as tiles, count(*) as cells, count(value) as data_cells
+  max(gx) as gx1, max(gy) as gy1, count(distinct (tc, tr)) as tiles, count(*) as cells, count(value) as data_cells,
+  round(min(gx) * 40075016.685578488e0 / 1048576 - 20037508.342789244e0, 3) as xmin, round(20037508.342789244e0 - max(gy + 1) * 40075016.685578488e0 / 1048576, 3) as ymin,
+  round(max(gx + 1) * 40075016.685578488e0 / 1048576 - 20037508.342789244e0, 3) as xmax, round(20037508.342789244e0 - min(gy) * 40075016.685578488e0 / 1048576, 3) as ymax
 from (select * from cells union all select * from mask) s group by layer, zoom""",
         "cells",
         "mask",
     ),
 )
 def layer_metadata(spark, sf):
-    return store.layer_metadata(fx.store(spark, sf))
+    told = store.layer_metadata(fx.store(spark, sf), fx.GRID.tile)
+    return told.withColumns({c: F.round(c, 3) for c in ("xmin", "ymin", "xmax", "ymax")})
 
 
 @query("write_layer", sql("select * from cells union all select * from mask", "cells", "mask"))

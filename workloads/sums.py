@@ -61,3 +61,25 @@ from cut c left join (select req_id, sum(nano) as nano from scored group by req_
 def request_summary(spark, sf):
     """GeoJSON, layers and weights of each request to scores and totals, invalid polygons included."""
     return sums.request_summary(fx.cells(spark, sf), sum_requests(spark, sf), fx.GRID)
+
+
+@query(
+    "request_breaks",
+    sql(
+        f"""+asked as (select *, cast(1 + req_id % 13 as int) as num_breaks from ({_texts('varchar')}) t),
+cut as (select req_id, num_breaks, string_split(rtrim(layers, ','), ',') as l, string_split(rtrim(weights, ','), ',') as w from asked),
+pairs as (select req_id, num_breaks, l[i] as layer, try_cast(w[i] as int) as weight
+  from (select *, unnest(range(1, 1 + least(len(l), len(w)))) as i from cut) r),
+sums as (select req_id, num_breaks, gx, gy, case when count(value) < count(*) then null else sum(value * weight) end as value
+  from cells join pairs using (layer) where weight <> 0 group by req_id, num_breaks, gx, gy),
+ordered as (select req_id, num_breaks, value, row_number() over (partition by req_id order by value) as rn,
+  count(*) over (partition by req_id) as total from sums where value is not null)
+select req_id, k, cast(min(value) as bigint) as brk from ordered, (select cast(unnest(range(1, 14)) as int) as k) ks
+where k <= num_breaks and rn * num_breaks >= k * total group by req_id, k""",
+        "cells",
+    ),
+)
+def request_breaks(spark, sf):
+    """Class breaks of each request's own layers, weights and number of breaks."""
+    asked = sum_requests(spark, sf).selectExpr("*", "CAST(1 + req_id % 13 AS INT) AS num_breaks")
+    return sums.request_breaks(fx.cells(spark, sf), asked, fx.LAYERS, fx.GRID.zoom)
