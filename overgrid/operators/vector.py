@@ -164,14 +164,25 @@ def polygon_touched_tiles(edges: DataFrame, grid: Grid) -> DataFrame:
 
 
 def outline_spans(edges: DataFrame, cover: DataFrame, grid: Grid) -> DataFrame:
-    """Runs ``(zone_id, tc, tr, gy, a, b)`` of covered cells inside the tiles that the outline crosses."""
+    """Runs ``(zone_id, tc, tr, gy, a, b)`` of covered cells inside the tiles that the outline crosses.
+
+    A run that begins inside a crossed tile is found by an equi join on the tile.  A run that reaches a tile from its
+    left is the last one of its row to begin before: runs and the left edges of crossed tiles are sorted together, row
+    by row.  So the work is runs plus crossed tiles times their rows, however jagged the zone.
+    """
     t = grid.tile
-    spans = polygon_spans(edges, grid.size).withColumn("tr", grid.tile_of(F.col("gy")))
+    runs = polygon_spans(edges, grid.size)
     crossed = cover.filter("NOT whole").select("zone_id", "tc", "tr")
-    met = spans.join(crossed, ["zone_id", "tr"]).filter(f"a <= tc * {t} + {t - 1} AND b >= tc * {t}")
-    return met.selectExpr(
-        "zone_id", "tc", "tr", "gy", f"greatest(a, tc * {t}) AS a", f"least(b, tc * {t} + {t - 1}) AS b"
-    )
+    begun = runs.withColumns({"tc": grid.tile_of(F.col("a")), "tr": grid.tile_of(F.col("gy"))}).filter(f"a % {t} <> 0")
+    begun = begun.join(crossed, ["zone_id", "tc", "tr"])
+    rows = crossed.selectExpr("zone_id", "tc", "tr", f"explode(sequence(tr * {t}, tr * {t} + {t - 1})) AS gy")
+    marks = rows.selectExpr("zone_id", "gy", f"tc * {t} AS a", "CAST(NULL AS INT) AS b", "tc", "tr", "1 AS mark")
+    both = runs.selectExpr("zone_id", "gy", "a", "b", "CAST(NULL AS INT) AS tc", "CAST(NULL AS INT) AS tr", "0 AS mark").unionByName(marks)
+    line = "(PARTITION BY zone_id, gy ORDER BY a, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    reached = both.selectExpr("zone_id", "gy", "a", f"last_value(b) IGNORE NULLS OVER {line} AS b", "tc", "tr", "mark")
+    entered = reached.filter("mark = 1 AND b >= a")
+    columns = ["zone_id", "tc", "tr", "gy", "a", f"least(b, tc * {t} + {t - 1}) AS b"]
+    return begun.selectExpr(*columns).unionByName(entered.selectExpr(*columns))
 
 
 def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:

@@ -217,3 +217,19 @@ def test_geojson_forms(spark):
     for r in rows[:2]:
         assert [(p["x"], p["y"]) for p in r["rings"][0]] == [(1, 2), (3, 4), (5, 6)]
     assert vector.polygon_edges(vector.parse_geojson(df)).count() == 6
+
+
+def test_a_jagged_outline_is_linear(spark):
+    """A zigzag of thousands of edges in one row of tiles: no row of the plan is runs times tiles."""
+    g = Grid(tile=8, zoom=9)
+    teeth = [(float(4 * k), 1.2 if k % 2 else 6.8) for k in range(1000)]
+    ring = [*teeth, (3996.0, 7.9), (0.0, 7.9)]
+    edges = polygon_edges(spark.createDataFrame([(1, [ring])], RINGS))
+    cover = vector.polygon_cover(edges, g)
+    spans = vector.outline_spans(edges, cover, g)
+    whole = cover.filter("whole").count()
+    cells = {(r["gx"], r["gy"]) for r in vector.polygon_to_cells(edges, g).collect()}
+    pieces = spans.collect()
+    assert {(x, r["gy"]) for r in pieces for x in range(r["a"], r["b"] + 1)} == cells and whole == 0
+    runs = vector.polygon_spans(edges, g.size).count()
+    assert len(pieces) <= runs + 8 * cover.count()
