@@ -102,10 +102,10 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Ranking | None:
     random = np.random.default_rng(seed)
     first = random.choice(np.flatnonzero(good), PAIRS)
     second = random.choice(np.flatnonzero(~good), PAIRS)
-    difference = z[first] - z[second]
     weights, step, square = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, 301):
-        batch = difference[random.integers(0, PAIRS, 4096)]
+        pairs = random.integers(0, PAIRS, 4096)
+        batch = z[first[pairs]] - z[second[pairs]]
         lost = 1 / (1 + np.exp(np.clip(batch @ weights, -40, 40)))
         gradient = -(batch * lost[:, None]).mean(0) + 2e-3 * weights
         step, square = 0.9 * step + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
@@ -144,9 +144,10 @@ def held_out(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def _features(text: pd.Series) -> pd.Series:
-    return pd.Series(list(features(text.tolist())))
+    """Rows of numbers as bytes: the driver holds them without an object for each number."""
+    return pd.Series([row.tobytes() for row in features(text.tolist())], dtype=object)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> Ranking | None:
@@ -156,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING_ROWS) ->
     found = rows.toPandas()
     if found.empty:
         return None
-    return fit(np.stack(found["x"].to_list()), found["good"].to_numpy(dtype=bool))
+    x = np.stack([np.frombuffer(row, dtype=np.float32) for row in found["x"]])
+    return fit(x, found["good"].to_numpy(dtype=bool))
 
 
 def score(docs: DataFrame, model: Ranking | None, column: str = "score", text: str = "text") -> DataFrame:
