@@ -237,7 +237,7 @@ def lessons(page: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(pages: DataFrame, column: str = "html") -> lstm.Labeller | None:
-    """Fit on a bounded sample of pages; blocks and vectors are made on the executors."""
+    """Fit on a bounded sample of pages; blocks and vectors are made on the executors and come as bytes."""
     total = pages.count()
     value = text_of(F.col(f"`{column}`"))
     share = F.pmod(F.xxhash64(value), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, TRAINING_PAGES / max(1, total))))
@@ -245,15 +245,15 @@ def train(pages: DataFrame, column: str = "html") -> lstm.Labeller | None:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for page in part["html"]:
-                rows = [(x.astype(np.float32).ravel(), y) for x, y in lessons(page)]
+                rows = [(x.astype(np.float32).tobytes(), y.astype(np.float32).tobytes()) for x, y in lessons(page)]
                 yield pd.DataFrame(rows, columns=["x", "y"])
 
-    found = pages.select(value.alias("html")).filter(share).distinct().mapInPandas(run, "x array<float>, y array<double>").toPandas()
+    found = pages.select(value.alias("html")).filter(share).distinct().mapInPandas(run, "x binary, y binary").toPandas()
     if found.empty:
         return None
-    rows = [(np.asarray(x, dtype=np.float32), np.asarray(y)) for x, y in zip(found["x"], found["y"], strict=True)]
-    rows.sort(key=lambda row: zlib.crc32(row[0].tobytes()))
-    return lstm.fit([x.reshape(-1, WIDTH) for x, _ in rows], [y for _, y in rows])
+    rows = sorted(zip(found["x"], found["y"], strict=True), key=lambda row: zlib.crc32(row[0]))
+    numbers = [tuple(np.frombuffer(part, dtype=np.float32) for part in row) for row in rows]
+    return lstm.fit([x.reshape(-1, WIDTH) for x, _ in numbers], [y for _, y in numbers])
 
 
 def main_text(pages: list[str | None], model: lstm.Labeller | None) -> list[str]:
