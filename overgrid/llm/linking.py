@@ -45,6 +45,17 @@ def star_edges(keys: DataFrame) -> DataFrame:
     return both.filter("id > _m").select(F.col("id").alias("a"), F.col("_m").alias("b")).distinct()
 
 
+def tied_edges(keys: DataFrame, folder: str) -> DataFrame:
+    """``star_edges`` for many keys of which few have two items: only those that do are joined with their items.
+
+    The smallest item of each key is an aggregate with map-side partials, and the join with the written keys is one
+    that Spark splits where a key is hot.
+    """
+    least = keys.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tied = stored(least.select("key", "b"), "tied", folder)
+    return keys.join(tied, "key").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     """``(id, root)`` of every item on an edge ``(a, b)``: root is the smallest item that it is connected with.
 

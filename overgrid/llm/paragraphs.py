@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overgrid.llm.common import free_name, plain, shared_folder, stored, text_of
-from overgrid.llm.linking import components, digest, link, star_edges
+from overgrid.llm.linking import components, digest, link, tied_edges
 from overgrid.llm.words import U, minima, mix, shingle_sets
 from overgrid.operators.joins import fan_join
 
@@ -76,17 +76,21 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """``(doc_id, paragraph, first_doc_id, first_paragraph, kept)`` of the paragraphs of clusters over documents."""
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = stored(paragraphs(named, min_words), "paragraphs", folder)
+    found = stored(paragraphs(named, min_words).select("doc_id", "paragraph", "id"), "paragraphs", folder)
+    # Band keys are made anew here rather than written for every copy of a paragraph.
     items = stored(
-        found.groupBy("id").agg(
+        paragraphs(named, min_words).groupBy("id").agg(
             F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"),
             F.any_value("size").alias("size"), F.any_value("keys").alias("keys"),
         ),
         "paragraph-items", folder,
     )
-    edges = star_edges(items.select(F.explode("keys").alias("key"), "id"))
-    coarse = stored(components(edges, folder, "coarse"), "groups", folder)
-    members = items.join(coarse, "id").select("root", "id", "size", "first.doc_id", "first.paragraph")
+    # Coarse groups go by 64 bits of the items' names: two items of one short name only share a coarse group.
+    short = items.select("id", "first", "size", "keys", F.xxhash64("id").alias("short"))
+    edges = tied_edges(short.select(F.explode("keys").alias("key"), F.col("short").alias("id")), folder)
+    coarse = stored(components(edges, folder, "coarse").withColumnRenamed("id", "short"), "groups", folder)
+    root = F.encode(F.col("root").cast("string"), "utf-8").alias("root")
+    members = short.join(coarse, "short").select(root, "id", "size", "first.doc_id", "first.paragraph")
     line = F.get(F.split(text_of("text"), "\n", -1), F.col("paragraph"))
     groups = named.join(members, "doc_id").select("root", "id", "size", line.alias("text"), F.lit(None).cast("binary").alias("sketch"))
     linked = link(groups, shingle_sets, PERCENT, folder)
