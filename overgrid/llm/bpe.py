@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import re
+import threading
 from collections.abc import Iterator
 
 import duckdb
@@ -31,7 +32,7 @@ LONG_WORD = 64
 #: Bounds of one query: words encoded and tokens decoded in one go, words that a worker remembers.
 WORDS_AT_ONCE = 16_384
 TOKENS_AT_ONCE = 400_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: White space next to white space or at an end: only there does the pattern look past a word's own run.
 LOOSE = re.compile(r"^\s|\s\s|\s$")
 
@@ -64,8 +65,8 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.known: dict[str, bytes] = {}  # of words
-        self.runs: dict[str, bytes] = {}  # of blank-separated runs of words
+        self.known, self.known_before = {}, {}  # ids of words, and those that were known before the last turn
+        self.runs, self.runs_before = {}, {}  # of blank-separated runs of words
         self.base = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("_v", pa.table({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]}))
@@ -79,19 +80,28 @@ class Coder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._runs(text or "") for text in texts]
-        fresh = set().union(*cut).difference(self.runs)
-        if len(self.runs) + len(fresh) > REMEMBERED:
-            self.runs.clear()
-            fresh = set().union(*cut)
-        found = {run: self.pattern.findall(run) for run in fresh}
-        unknown = {w for words in found.values() for w in words} - self.known.keys()
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known.clear()
-            unknown = {w for words in found.values() for w in words}
-        self._learn(sorted(unknown))
-        for run, words in found.items():
-            self.runs[run] = b"".join([self.known[w] for w in words])
-        return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
+        if len(self.runs) > REMEMBERED:  # what is not asked for again until the next turn is forgotten
+            self.runs, self.runs_before = {}, self.runs
+        found = [list(map(self.runs.get, runs)) for runs in cut]
+        fresh = {run for runs, ids in zip(cut, found, strict=True) if None in ids for run, x in zip(runs, ids, strict=True) if x is None}
+        if fresh:
+            self._remember(fresh)
+            found = [list(map(self.runs.__getitem__, runs)) if None in ids else ids for runs, ids in zip(cut, found, strict=True)]
+        return list(map(b"".join, found))
+
+    def _remember(self, fresh: set[str]) -> None:
+        """Learn new runs of words."""
+        again = fresh & self.runs_before.keys()
+        self.runs.update((run, self.runs_before[run]) for run in again)
+        words = {run: self.pattern.findall(run) for run in fresh - again}
+        if len(self.known) > REMEMBERED:
+            self.known, self.known_before = {}, self.known
+        unknown = set().union(*words.values()).difference(self.known)
+        again = unknown & self.known_before.keys()
+        self.known.update((w, self.known_before[w]) for w in again)
+        self._learn(sorted(unknown - again))
+        for run, parts in words.items():
+            self.runs[run] = b"".join([self.known[w] for w in parts])
 
     def _runs(self, text: str) -> list[str]:
         """Parts of a text that the pattern cuts independently of each other.
@@ -192,11 +202,16 @@ def merge_by_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+#: Seconds after its last task that a worker keeps what it has learnt; other stages then have the memory.
+KEPT_S = 3.0
 _CODERS: dict[tuple[int, str], Coder] = {}
+_TIMERS: list[threading.Timer] = []
 
 
 def coder_of(ranks: dict[bytes, int], pattern: str) -> Coder:
-    """The worker's coder for these ranks: what it has learnt serves the worker's later tasks too."""
+    """The worker's coder for these ranks: what it has learnt serves the worker's next tasks too."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     key = (hash(frozenset(ranks.items())), pattern)
     if key not in _CODERS:
         _CODERS.clear()
@@ -204,6 +219,14 @@ def coder_of(ranks: dict[bytes, int], pattern: str) -> Coder:
     return _CODERS[key]
 
 
+def forget_soon() -> None:
+    """Drop the worker's coder unless another task asks for it within a few seconds."""
+    timer = threading.Timer(KEPT_S, _CODERS.clear)
+    timer.daemon = True
+    _TIMERS.append(timer)
+    timer.start()
+
+
 ENCODED = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
 )
@@ -222,6 +245,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
         for part in parts:
             rows = [coder_rows(coder, part.iloc[at : at + 512].tolist()) for at in range(0, len(part), 512)]
             yield pd.concat(rows) if rows else pd.DataFrame({"n_tokens": [], "ids": [], "decoded": []})
+        forget_soon()
 
     return docs.withColumn(column, coded(F.col(f"`{text}`")))
 
