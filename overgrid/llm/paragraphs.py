@@ -6,6 +6,9 @@ tuned so that two items with Jaccard likeness 0.8 share a band with chance ``REC
 joined, linked if 100 |A & B| >= 80 |A | B| on full sets, and clustered by connected components.  Of a cluster that
 two documents or more hold, the first paragraph (smallest document, then place) stays and the others are removals.
 
+What lines cannot show, ``passages`` finds: verbatim passages inside, across and over lines.  ``op4_passages`` and
+``substring_dedup`` take both.
+
 Null and empty texts have no paragraphs.  Rows with a null id are passed over.  Rows that repeat an id are one
 document.  An empty table gives an empty result.
 """
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from overgrid.llm import passages
 from overgrid.llm.common import free_name, plain, shared_folder, stored, text_of
 from overgrid.llm.linking import components, digest, link, tied_edges
 from overgrid.llm.words import U, minima, mix, shingle_sets
@@ -106,20 +110,26 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 
 
 @F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    return pd.Series([
-        t if g is None else "\n".join(line for i, line in enumerate((t or "").split("\n")) if i not in set(g))
-        for t, g in zip(text, gone, strict=True)
-    ], dtype=object)
+def _without(text: pd.Series, gone: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([passages.cut(*row) for row in zip(text, gone, words, strict=True)], dtype=object)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the paragraphs that an earlier place holds; columns stay as they are."""
-    name, lines = free_name(docs.columns, "_gone"), free_name(docs.columns, "_lines")
+    """``docs`` without the paragraphs and passages that an earlier place holds; columns stay as they are."""
+    name, doc, text, lines, words = (free_name(docs.columns, c) for c in ("_gone", "_doc", "_text", "_lines", "_words"))
     gone = repeated(docs).filter("NOT kept").groupBy("doc_id").agg(F.collect_set("paragraph").alias(lines)).withColumnRenamed("doc_id", name)
+    spans = passages.spans(docs).groupBy("doc_id", "text_id").agg(F.collect_set(F.array("first_word", "words")).alias(words))
+    spans = spans.withColumnsRenamed({"doc_id": doc, "text_id": text})
     joined = docs.join(gone, F.col("doc_id") == F.col(name), "left")
-    return joined.withColumn("text", _without("text", F.col(lines))).select(*docs.columns)
+    joined = joined.join(spans, (F.col("doc_id") == F.col(doc)) & (passages.text_name("text") == F.col(text)), "left")
+    return joined.withColumn("text", _without("text", F.col(lines), F.col(words))).select(*docs.columns)
 
 
 def op4_paragraphs(spark, sf: str) -> DataFrame:
     return repeated(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op4_passages(spark, sf: str) -> DataFrame:
+    """The whole job: the rows of ``op4_paragraphs``, and the passages, whose ``paragraph`` is null."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return repeated(docs).unionByName(passages.passages(docs), allowMissingColumns=True)

@@ -22,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "pipeline": corpus_pipeline.run,
 }
+#: The whole of an operator whose query above is held to a part of it.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_passages": paragraphs.op4_passages}
 ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
