@@ -32,8 +32,8 @@ EDITS_PERCENT = 20
 #: Recall wanted at the full tolerance: 0.999.  Of plants with exactly floor(0.2 L) edits, 40 keys of 3 places found all
 #: of 400 with substitutions and all of 400 with insertions and deletions too, where 20 keys of 4 found 0.90 to 0.91.
 WALKS, SAMPLES = 40, 3
-#: Walks that all windows take; windows of what these find are spared the others.
-FIRST_WALKS = 2
+#: Walks that go on together.
+WALKS_AT_ONCE = 10
 BLOCK_WORDS = 1_000_000
 #: Windows whose walks go on together.
 AT_ONCE = 1024
@@ -181,39 +181,34 @@ class Items:
             document = np.repeat(np.arange(last - first), np.diff(cuts))
             document_end = cuts[1:][document]
             starts, lengths = self.windows(words, cuts[:-1], document)
-            for walks in (slice(0, FIRST_WALKS), slice(FIRST_WALKS, None)):
-                if not len(starts):
-                    break
-                window, item = self._meet(words, starts, lengths, document_end, walks)
-                done = np.zeros(len(words) + 1, dtype=np.int64)
-                for doc, one, low, high in stretches(document[starts[window]], item, starts[window], lengths[window]):
-                    target = self.words[self.bounds[one] : self.bounds[one + 1]]
-                    # A window that meets an item may start up to 2 k words from it, and the part is up to k words longer.
-                    slack = 3 * int(edits_allowed(len(target))) + 1
-                    low, high = max(int(cuts[doc]), low - slack), min(int(cuts[doc + 1]), high + slack)
-                    edits, stop = edit_distance_within(target, words[low:high])
-                    if edits <= edits_allowed(len(target)):
-                        done[low] += 1
-                        done[high] -= 1
-                        yield first + doc, one, edits, int(begin[max(low, low + stop - len(target))] - offsets[doc]), int(end[max(low, low + stop - 1)] - offsets[doc])
-                # Windows inside what has been found need no more walks.
-                inside = np.concatenate(([0], np.cumsum(np.cumsum(done)[:-1] > 0)))
-                ends = np.minimum(starts + lengths, document_end[starts])
-                left = 2 * (inside[ends] - inside[starts]) <= ends - starts
-                starts, lengths = starts[left], lengths[left]
-
-    def _meet(self, words, starts, lengths, document_end, walks: slice) -> tuple[np.ndarray, np.ndarray]:
+            if not len(starts):
+                continue
+            # Every window takes every walk: what is found near it for one item says nothing of another item.
+            window, item = self._meet(words, starts, lengths, document_end)
+            for doc, one, low, high in stretches(document[starts[window]], item, starts[window], lengths[window]):
+                target = self.words[self.bounds[one] : self.bounds[one + 1]]
+                # A window that meets an item may start up to 2 k words from it, and the part is up to k words longer.
+                slack = 3 * int(edits_allowed(len(target))) + 1
+                low, high = max(int(cuts[doc]), low - slack), min(int(cuts[doc + 1]), high + slack)
+                edits, stop = edit_distance_within(target, words[low:high])
+                if edits <= edits_allowed(len(target)):
+                    yield first + doc, one, edits, int(begin[max(low, low + stop - len(target))] - offsets[doc]), int(end[max(low, low + stop - 1)] - offsets[doc])
+
+    def _meet(self, words, starts, lengths, document_end) -> tuple[np.ndarray, np.ndarray]:
         """``(window, item)`` pairs; windows of equal words, as runs of one word have, walk once."""
         ends = np.minimum(starts + lengths, document_end[starts])
         prefix = np.concatenate(([PAD], np.cumsum(words * powers(BASE, len(words)))))
         content = (prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(words) + 1)[starts]
         content = mix(content + lengths.astype(np.uint64) * U(3) + (ends - starts).astype(np.uint64) * U(7))
         _, chosen, back = np.unique(content, return_index=True, return_inverse=True)
-        keys = [
-            walk_keys(words, starts[some], lengths[some], ends[some], walks)
-            for some in (chosen[a : a + AT_ONCE] for a in range(0, len(chosen), AT_ONCE))
-        ]
-        return self.meet(np.concatenate(keys, axis=1)[:, back], walks)
+        met = []
+        for walks in (slice(a, a + WALKS_AT_ONCE) for a in range(0, WALKS, WALKS_AT_ONCE)):
+            keys = [
+                walk_keys(words, starts[some], lengths[some], ends[some], walks)
+                for some in (chosen[a : a + AT_ONCE] for a in range(0, len(chosen), AT_ONCE))
+            ]
+            met.append(np.stack(self.meet(np.concatenate(keys, axis=1)[:, back], walks)))
+        return tuple(np.unique(np.concatenate(met, axis=1), axis=1))
 
 
 def stretches(doc: np.ndarray, item: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
