@@ -19,9 +19,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.line_dedup_stage(docs)
 
 
+#: Jaccard likeness, in hundredths, from which documents are near copies; the query op7_near_dedup has its own.
+NEAR_PERCENT = 80
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    return near.near_dedup(docs)
+    return near.near_dedup(docs, NEAR_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text's words are runs of other than ASCII white space, ``A-Z`` lower-cased; its set is its distinct shingles of
 five words (the whole sequence as one, where there are fewer).  Each of 120 buckets keeps the smallest of its own
-hashes of the set as the count of leading zeros and ten bits of mantissa, 16 bits in all.  Runs of five registers
-are the bands: texts with Jaccard likeness 0.85 miss all 24 with chance 1e-6.  Texts that share a band go to exact
+hashes of the set as the count of leading zeros and ten bits of mantissa, 16 bits in all.  Runs of registers are the
+bands, as wide as the threshold allows: 24 of five, which texts with Jaccard likeness 0.85 all miss with chance 1e-6,
+or 30 of four, with chance 2e-7 at 0.8.  Texts that share a band go to exact
 linking, where the collision-corrected estimate from the registers rules out far candidates before full sets are
 compared (at five standard errors below the threshold).
 
@@ -15,6 +16,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ from overgrid.llm.words import U, minima, mix, shingle_sets
 from overgrid.operators.joins import fan_join
 
 PERCENT = 85
-REGISTERS, BANDS = 120, 24
+REGISTERS = 120
+#: Chance at most that two texts as like as the threshold share no band.
+MISS = 2e-6
 MANTISSA = 10
 
 
@@ -40,11 +44,17 @@ def registers(least: np.ndarray) -> np.ndarray:
     return zeros << np.uint16(MANTISSA) | mantissa
 
 
-def band_keys(table: np.ndarray) -> np.ndarray:
-    """``(sets, BANDS)``: a hash of each band's registers and number."""
-    width = REGISTERS // BANDS
-    parts = table.reshape(len(table), BANDS, width).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(table), BANDS)) + U(1)
+def band_width(percent: int = PERCENT) -> int:
+    """The most registers a band with which texts of this likeness miss all bands with chance ``MISS`` at most."""
+    return max((w for w in range(1, REGISTERS + 1) if REGISTERS % w == 0 and (1 - (percent / 100) ** w) ** (REGISTERS // w) <= MISS), default=1)
+
+
+def band_keys(table: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """``(sets, bands)``: a hash of each band's registers and number."""
+    width = band_width(percent)
+    bands = REGISTERS // width
+    parts = table.reshape(len(table), bands, width).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(table), bands)) + U(1)
     for k in range(width):
         keys = mix(keys * U(0x9E3779B97F4A7C15) + parts[:, :, k])
     return keys
@@ -86,19 +96,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, size long, digest binary, sketch binary")
 
 
-def band_rows(items: DataFrame) -> DataFrame:
+def band_rows(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(key, id)``: the bands of each item."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
                 table = np.stack([np.frombuffer(s, dtype=np.uint16) for s in part["sketch"]])
-                yield pd.DataFrame({"key": band_keys(table).view(np.int64).ravel(), "id": part["id"].repeat(BANDS).to_numpy()})
+                keys = band_keys(table, percent)
+                yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "id": part["id"].repeat(keys.shape[1]).to_numpy()})
 
     return items.select("id", "sketch").mapInPandas(run, "key long, id binary")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -110,10 +121,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         "items", folder,
     )
-    coarse = stored(components(star_edges(band_rows(items)), folder, "coarse"), "groups", folder)
+    coarse = stored(components(star_edges(band_rows(items, percent)), folder, "coarse"), "groups", folder)
     members = items.join(coarse, "id").select("root", "id", "first", "size", "sketch")
     groups = named.join(members.withColumnRenamed("first", "doc_id"), "doc_id")
-    linked = link(groups, shingle_sets, PERCENT, folder, likeness)
+    linked = link(groups, shingle_sets, percent, folder, partial(likeness, percent=percent))
     classes = items.select("id", "first").join(linked, "id")
     named_classes = classes.groupBy("root").agg(F.min("first").alias("component"))
     lookup = stored(fan_join(classes, named_classes, ["root"]).select("id", "component"), "classes", folder)
@@ -126,9 +137,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.  Columns stay as they are."""
-    lost = near_components(docs).filter("NOT kept").select("doc_id").distinct()
+    lost = near_components(docs, percent=percent).filter("NOT kept").select("doc_id").distinct()
     name = free_name(docs.columns, "_lost")
     return docs.join(lost.withColumnRenamed("doc_id", name), F.col("doc_id") == F.col(name), "left_anti")
 
