@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, fingerprints, lines, near, pages, paragraphs, pii, quality, warc
+from overgrid.llm import bpe, collocations, decontaminate, fingerprints, licenses, lines, near, pages, paragraphs, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -20,8 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_main_text": pages.op9_main_text,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_licenses": licenses.op12_licenses,
     "pipeline": corpus_pipeline.run,
 }
 #: The whole of an operator whose query above is held to a part of it.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_passages": paragraphs.op4_passages}
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": lines.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_licenses": licenses.ORACLE,
+}
