@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from overgrid.llm import bpe, collocations, decontaminate, fingerprints, licenses, lines, near, pages, paragraphs, pii, quality, warc
+from overgrid.llm import bpe, collocations, conversations, decontaminate, fingerprints, licenses, lines, near, pages, paragraphs, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "op11_collocations": collocations.op11_collocations,
     "op12_licenses": licenses.op12_licenses,
+    "op13_conversations": conversations.op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
 #: The whole of an operator whose query above is held to a part of it.
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE,
     "op11_collocations": collocations.ORACLE,
     "op12_licenses": licenses.ORACLE,
+    "op13_conversations": conversations.ORACLE,
 }
