@@ -37,7 +37,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 TRIE_PHRASES = 250_000
 FILTER_BITS = 1 << 28
 SLICE = 1 << 18
-PAIRS_HELD = 2_000_000
+PAIRS_HELD = 500_000
 NO_LANG = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -105,8 +105,10 @@ def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 def known(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the filter may hold each key."""
     found = np.ones(len(keys), dtype=bool)
-    for at in places(keys, len(table) * 8):
-        found &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    for first in range(0, len(keys), 1 << 17):
+        some = slice(first, first + (1 << 17))
+        for at in places(keys[some], len(table) * 8):
+            found[some] &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
     return found
 
 
@@ -172,13 +174,15 @@ def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
                     held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0])
                     if size > PAIRS_HELD // 2:
-                        yield rows(*held[0])
+                        yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            yield rows(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from rows(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "n": n})
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(a), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield pd.DataFrame({"a": a[some].view(np.int64), "b": b[some].view(np.int64), "n": n[some]})
 
     return arrays.select("tokens").mapInPandas(run, "a long, b long, n long")
 
