@@ -3,7 +3,8 @@
 Texts are lower-cased (``A-Z``), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at blanks and tabs into words.
 Everything is per language; a null language is ``und``.
 
-1. Texts become arrays of word hashes once, 0 between pieces; the vocabulary is counted on the way.
+1. Texts become arrays once: each run of texts has its distinct words, and its words in order as numbers of those, 0
+   between pieces.  The vocabulary is counted on the way.
 2. Candidates grow level by level, Apriori-safe: a run of m words is looked at only where both of its runs of m - 1
    words are frequent.  What is frequent goes out as a Bloom filter of bounded size, which may let more pass, never less.
 3. The candidates of all lengths are dealt over tries of at most ``TRIE_PHRASES`` phrases.  Trie by trie, every task
@@ -64,32 +65,58 @@ def salted(hashes: np.ndarray, lang: str, salt: int) -> np.ndarray:
     return np.maximum(mix(hashes + mix(np.array([name + U(salt)]))[0]), U(1))
 
 
-def tokens_of(raw: bytes, lang: str, salt: int = 0) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """``(tokens, words, hashes, counts)``: the hash of each word, 0 between pieces, and the distinct words."""
+def codes_type(distinct: int) -> str:
+    """Two bytes a word where a run has few enough distinct words."""
+    return "<u2" if distinct < 1 << 16 else "<u4"
+
+
+def coded(raw: bytes, lang: str, salt: int = 0) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """``(codes, hashes, words, counts)``: the distinct words, and each word's number among them from 1, 0 between pieces."""
     starts, ends, hashes = word_hashes(raw, SEPARATES)
-    hashes = salted(hashes, lang, salt)
     piece = np.cumsum(IS_BREAK[np.frombuffer(raw, dtype=np.uint8)])[starts]
     shift = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
-    tokens = np.zeros(len(hashes) + (int(shift[-1]) if len(shift) else 0), dtype=np.uint64)
-    tokens[np.arange(len(hashes)) + shift] = hashes
-    distinct, index, counts = np.unique(hashes, return_index=True, return_counts=True)
+    distinct, index, inverse, counts = np.unique(salted(hashes, lang, salt), return_index=True, return_inverse=True, return_counts=True)
+    codes = np.zeros(len(hashes) + (int(shift[-1]) if len(shift) else 0), dtype=codes_type(len(distinct)))
+    codes[np.arange(len(hashes)) + shift] = inverse + 1
     low = raw.lower()
     words = [low[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-    return tokens, words, distinct, counts
+    return codes, distinct, words, counts
+
+
+def read_back(codes: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, hashes)``, the hashes with a 0 in front, for code 0."""
+    distinct = np.concatenate((np.zeros(1, dtype=np.uint64), np.frombuffer(hashes, dtype=np.uint64)))
+    return np.frombuffer(codes, dtype=codes_type(len(distinct) - 1)), distinct
 
 
 def encoded(docs: DataFrame, salt: int) -> DataFrame:
-    """``(lang, tokens, words, hashes, counts)`` from ``(lang, text)``, one row for each run of texts."""
+    """``(lang, codes, hashes, words, counts)`` from ``(lang, text)``, one row for each run of texts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lang, rows in part.groupby("lang"):
                 for raw in chunks(rows["text"].tolist()):
-                    tokens, words, hashes, counts = tokens_of(raw, lang, salt)
-                    if len(tokens):
-                        yield pd.DataFrame({"lang": [lang], "tokens": [tokens.tobytes()], "words": [words], "hashes": [hashes.view(np.int64)], "counts": [counts]})
+                    codes, hashes, words, counts = coded(raw, lang, salt)
+                    if len(words):
+                        yield pd.DataFrame({"lang": [lang], "codes": [codes.tobytes()], "hashes": [hashes.tobytes()], "words": [words], "counts": [counts]})
+
+    return docs.mapInPandas(run, "lang string, codes binary, hashes binary, words array<string>, counts array<long>")
+
+
+def with_keys(vocabulary: DataFrame, salt: int) -> DataFrame:
+    """``(lang, word, n, key)`` from ``(lang, word, n)``: the key is the word's hash in the arrays."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            raw = "\n".join(part["word"]).encode("utf-8", "surrogatepass") + b"\n"
+            hashes = word_hashes(raw, SEPARATES)[2]
+            keys = np.zeros(len(part), dtype=np.uint64)
+            for lang in set(part["lang"]):
+                own = (part["lang"] == lang).to_numpy()
+                keys[own] = salted(hashes[own], lang, salt)
+            yield part.assign(key=keys.view(np.int64))
 
-    return docs.mapInPandas(run, "lang string, tokens binary, words array<string>, hashes array<long>, counts array<long>")
+    return vocabulary.select("lang", "word", "n").mapInPandas(run, "lang string, word string, n long, key long")
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,13 +168,15 @@ def bloom(keys: DataFrame, count: int, most: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def safe_pairs(tokens: np.ndarray, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def safe_pairs(codes: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """``(a, b)``: keys of the first and the last words but one of each run all of whose shorter runs may be frequent."""
-    key, alive = tokens, tokens != 0
-    for table in filters[:-1]:
-        alive = alive & known(table, key)
+    frequent = known(filters[0], hashes)
+    frequent[0] = False
+    key, alive = hashes[codes], frequent[codes]
+    for table in filters[1:]:
         key, alive = combine(key[:-1], key[1:]), alive[:-1] & alive[1:]
-    alive = alive & known(filters[-1], key)
+        at = np.flatnonzero(alive)
+        alive[at] = known(table, key[at])
     at = np.flatnonzero(alive[:-1] & alive[1:])
     return key[at], key[at + 1]
 
@@ -164,8 +193,8 @@ def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, held, size = [f.value for f in filters], [], 0
         for part in parts:
-            for raw in part["tokens"]:
-                a, b = safe_pairs(np.frombuffer(raw, dtype=np.uint64), tables)
+            for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
+                a, b = safe_pairs(*read_back(codes, hashes), tables)
                 if not len(a):
                     continue
                 held.append(summed(a, b, np.ones(len(a), dtype=np.int64)))
@@ -184,7 +213,7 @@ def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
             some = slice(at, at + (1 << 16))
             yield pd.DataFrame({"a": a[some].view(np.int64), "b": b[some].view(np.int64), "n": n[some]})
 
-    return arrays.select("tokens").mapInPandas(run, "a long, b long, n long")
+    return arrays.select("codes", "hashes").mapInPandas(run, "a long, b long, n long")
 
 
 @F.pandas_udf(T.LongType())
@@ -258,12 +287,13 @@ def counted(arrays: DataFrame, phrases: DataFrame, folder: str, longest: int, sa
             made = trie.Trie(np.frombuffer(words, dtype=np.uint64), *[np.frombuffer(t, dtype=np.int32) for t in tables], n)
             counts = np.zeros(n, dtype=np.int64)
             for part in parts:
-                for raw in part["tokens"]:
-                    made.count(np.frombuffer(raw, dtype=np.uint64), longest, counts)
+                for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
+                    codes, hashes = read_back(codes, hashes)
+                    made.count(made.ids(hashes)[codes], longest, counts)
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"at": at, "n": counts[at]})
 
-        told = arrays.select("tokens").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("f"))
+        told = arrays.select("codes", "hashes").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("f"))
         sums.append(stored(told.withColumn("shard", F.lit(shard)), f"sums-{shard}", folder))
         held.destroy()
     names = tries.select("shard", F.posexplode("phrases").alias("at", "p")).select("shard", F.col("at").cast("long").alias("at"), "p.lang", "p.phrase")
@@ -332,9 +362,9 @@ def _read(named: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, int]:
     """The arrays, the vocabulary ``(lang, word, key, n)``, and the salt with which no two words share a hash."""
     for salt in range(100):
         arrays = stored(encoded(named, salt), f"arrays-{salt}", folder)
-        each = arrays.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
-        vocabulary = each.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("key")).agg(F.sum("w.counts").alias("n"))
-        vocabulary = stored(vocabulary, f"vocabulary-{salt}", folder)
+        each = arrays.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+        summed = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+        vocabulary = stored(with_keys(summed, salt), f"vocabulary-{salt}", folder)
         if vocabulary.groupBy("key").count().filter("count > 1").isEmpty():
             return arrays, vocabulary, salt
     raise ValueError("words share hashes with every salt")

@@ -37,9 +37,9 @@ class Trie:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == tokens, at, -1).astype(np.int32)
 
-    def count(self, tokens: np.ndarray, longest: int, counts: np.ndarray) -> None:
-        """Add to ``counts`` how often each phrase stands in ``tokens``: all positions' states advance together."""
-        ids = np.concatenate((self.ids(tokens), np.full(longest, -1, dtype=np.int32)))
+    def count(self, ids: np.ndarray, longest: int, counts: np.ndarray) -> None:
+        """Add to ``counts`` how often each phrase stands in a text of local ids: all positions' states advance together."""
+        ids = np.concatenate((ids, np.full(longest, -1, dtype=np.int32)))
         at = np.flatnonzero(ids >= 0)
         state = np.full(len(at), ROOT, dtype=np.int32)
         for k in range(longest):

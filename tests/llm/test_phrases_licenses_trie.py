@@ -38,11 +38,11 @@ def test_trie_counts_as_a_dictionary_does():
         made = trie.build(np.array([w for p in listed for w in p], dtype=np.uint64), np.array([len(p) for p in listed]))
         text = np.concatenate([np.array([*p, 0] if draw.random() < 0.5 else p) for p in draw.permutation(np.array(listed, dtype=object)).tolist()] * 2).astype(np.uint64)
         counts = np.zeros(len(listed), dtype=np.int64)
-        made.count(text, 5, counts)
+        made.count(made.ids(text), 5, counts)
         runs = Counter(tuple(text[i : i + m].tolist()) for m in range(2, 6) for i in range(len(text) - m + 1))
         assert counts.tolist() == [runs[p] for p in listed]
     empty = trie.build(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-    empty.count(np.arange(5, dtype=np.uint64), 5, np.zeros(0, dtype=np.int64))
+    empty.count(empty.ids(np.arange(5, dtype=np.uint64)), 5, np.zeros(0, dtype=np.int64))
 
 
 def plain_collocations(rows, least, top):
