@@ -32,3 +32,43 @@ def z_decode_x(code: str, bits: int = MAX_BITS) -> Column:
 
 def z_decode_y(code: str, bits: int = MAX_BITS) -> Column:
     return F.expr(f"CAST({_gather(code, bits, 1)} AS INT)")
+
+
+def z_ranges(bounds: tuple[int, int, int, int], most: int = 32) -> list[tuple[int, int]]:
+    """Inclusive ranges of the curve, ``most`` at most, that hold every tile within inclusive bounds ``(c0, r0, c1, r1)``.
+
+    Squares of the curve's quadtree are split, the largest first, where they reach over the border; what is inside is one
+    range as it is.  With few ranges some hold tiles beyond the bounds too, never fewer.
+    """
+    c0, r0, c1, r1 = bounds
+    if c0 > c1 or r0 > r1:
+        return []
+    bits = max(c1, r1, 1).bit_length()
+    whole, border = [], [(bits, 0, 0)]
+    while border:
+        if len(whole) + len(border) + 3 > most:
+            break
+        bits, c, r = border.pop(0)
+        for dr in (0, 1):
+            for dc in (0, 1):
+                half = bits - 1
+                left, top = c + (dc << half), r + (dr << half)
+                right, bottom = left + (1 << half) - 1, top + (1 << half) - 1
+                if left > c1 or right < c0 or top > r1 or bottom < r0:
+                    continue
+                inside = c0 <= left and right <= c1 and r0 <= top and bottom <= r1
+                (whole if inside else border).append((half, left, top))
+    squares = sorted((z_number(c, r), b) for b, c, r in whole + border)
+    out: list[tuple[int, int]] = []
+    for start, b in squares:
+        end = start + (1 << 2 * b) - 1
+        if out and out[-1][1] + 1 == start:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def z_number(x: int, y: int) -> int:
+    """The place of one pair of numbers on the curve."""
+    return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(MAX_BITS))

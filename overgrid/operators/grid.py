@@ -68,6 +68,22 @@ def choose_zoom(cell_size: Column, tile: int = 256, deepest: int = 30) -> Column
     return F.array_min(sizes)["zoom"]
 
 
+def within(cells: DataFrame, bounds: tuple[int, int, int, int] | None) -> DataFrame:
+    """Cells of the tiles in inclusive bounds: literals, which reach the scan.
+
+    Where the store's curve key ``z`` is at hand, the rectangle is also told as ranges of the curve, along which files
+    are sorted, so that row groups and pages without such tiles are skipped.
+    """
+    if bounds is None:
+        return cells
+    c0, r0, c1, r1 = bounds
+    held = cells.filter(F.col("tc").between(c0, c1) & F.col("tr").between(r0, r1))
+    if "z" not in cells.columns:
+        return held
+    ranges = zcurve.z_ranges((max(c0, 0), max(r0, 0), c1, r1))
+    return held.filter(" OR ".join(f"z BETWEEN {a}L AND {b}L" for a, b in ranges) or "false")
+
+
 def z_order_key(keys: DataFrame, name: str = "z") -> DataFrame:
     return keys.withColumn(name, zcurve.z_encode("tc", "tr"))
 

@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def fan_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", fan: int | None = None) -> DataFrame:
+def fan_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi join ``facts`` with a much smaller ``lookup`` whose keys may be hot.
 
-    ``fan`` grows with the session's shuffle partitions, so with the tasks that a hot key can be spread over.
-    Every lookup row is repeated for ``fan`` parts and every fact is given one of them, so a key that holds
-    a third of the facts is still spread over ``fan`` tasks.  Whether ``lookup`` is broadcast is left to
-    Spark's own size check; the join is right and even either way.  The part is a hash of the fact's own
-    columns, not a random number: a retried task sends its rows to the same place.
+    A plain join on purpose: every row of either side is shuffled once, however many partitions the cluster has, and
+    where a key's partition comes out too large, adaptive execution splits it and repeats only that part of the
+    lookup.  A small lookup is broadcast by Spark's own size check.  Repeating lookup rows beforehand would cost the
+    more the larger the cluster.
     """
-    fan = fan or max(16, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    parts = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    keyed = facts.withColumn("_part", F.pmod(F.xxhash64(*facts.columns), F.lit(fan)).cast("int"))
-    return keyed.join(parts, [*on, "_part"], how).drop("_part")
+    return facts.join(lookup, on, how)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from overgrid.functions import projection
 from overgrid.model import WORLD_HALF, Grid
-from overgrid.operators.joins import fan_join
+from overgrid.operators.grid import within
 
 GEOJSON = (
     "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>,"
@@ -102,40 +102,79 @@ def polygon_to_cells(edges: DataFrame, grid: Grid) -> DataFrame:
     return polygon_spans(edges, grid.size).selectExpr("zone_id", "explode(sequence(a, b)) AS gx", "gy")
 
 
-def _edge_tiles(edges: DataFrame, grid: Grid) -> DataFrame:
-    """Tiles that an edge meets, once per edge: walk each edge by tile row, then test edge against box."""
-    t, last = grid.tile, grid.tiles - 1
+def polygon_sweep(edges: DataFrame, grid: Grid) -> DataFrame:
+    """One sweep over the rows of each zone: what ``polygon_cover`` and ``outline_spans`` are read off.
+
+    Each edge is walked once, by cell row (a crossing with the row's middle) and by tile row (the tiles that the edge
+    meets).  One shuffle by zone and tile row serves the rest.  In every cell row the crossings and both sides of the
+    crossed tiles are sorted by x; running counts tell for the stretch up to the next one whether it is inside the
+    polygon and in a crossed tile.  So the work is crossings plus crossed tiles times their rows, however jagged the
+    zone, and never its area.
+
+    ``(zone_id, tr, gy, tc, starts, in_tile, inside, a, b)``: ``starts`` marks the left side of a crossed tile ``tc``,
+    ``a .. b`` are the cells of the stretch (none if ``a > b``).
+    """
+    t, last, side = grid.tile, grid.tiles - 1, grid.size
 
     def x_at(y: str) -> str:
         inside = f"least(greatest({y}, least(y1, y2)), greatest(y1, y2))"
         return f"x1 + (x2 - x1) * ({inside} - y1) / nullif(y2 - y1, 0e0)"
 
+    def either(of_tiles: str, of_cells: str) -> str:
+        return f"CASE WHEN by_tile THEN {of_tiles} ELSE {of_cells} END"
+
+    edge = ["zone_id", "x1", "y1", "x2", "y2"]
     rows = (
-        edges.selectExpr(
-            "*",
-            f"CAST(greatest(floor((least(y1, y2) - {SLACK!r}D) / {t}), 0) AS INT) AS first_row",
-            f"CAST(least(floor((greatest(y1, y2) + {SLACK!r}D) / {t}), {last}) AS INT) AS last_row",
+        edges.selectExpr(*edge, "explode(array(true, false)) AS by_tile")
+        .selectExpr(
+            *edge, "by_tile",
+            f"CAST(greatest({either(f'floor((least(y1, y2) - {SLACK!r}D) / {t})', 'ceil(least(y1, y2) - 0.5e0)')}, 0) AS INT) AS first_row",
+            f"CAST({either(f'least(floor((greatest(y1, y2) + {SLACK!r}D) / {t}), {last})', f'least(ceil(greatest(y1, y2) - 0.5e0) - 1, {side - 1})')} AS INT) AS last_row",
         )
         .filter("first_row <= last_row")
-        .selectExpr("zone_id", "x1", "y1", "x2", "y2", "explode(sequence(first_row, last_row)) AS tr")
-        .selectExpr("*", f"{x_at(f'tr * {t} - {SLACK!r}D')} AS xa", f"{x_at(f'(tr + 1) * {t} + {SLACK!r}D')} AS xb")
+        .selectExpr(*edge, "by_tile", "explode(sequence(first_row, last_row)) AS row")
     )
     # A flat edge has no x at a height; it spans its own ends.
-    near = (
-        rows.selectExpr(
-            "zone_id", "tr", "x1", "y1", "x2", "y2",
-            f"CAST(greatest(floor((least(coalesce(xa, x1), coalesce(xb, x2)) - {SLACK!r}D) / {t}), 0) AS INT) AS first_col",
-            f"CAST(least(floor((greatest(coalesce(xa, x1), coalesce(xb, x2)) + {SLACK!r}D) / {t}), {last}) AS INT) AS last_col",
-        )
-        .filter("first_col <= last_col")
-        .selectExpr("zone_id", "tr", "x1", "y1", "x2", "y2", "explode(sequence(first_col, last_col)) AS tc")
+    reach = rows.selectExpr(
+        *edge, "by_tile", "row",
+        either("NULL", "(x2 - x1) * (row + 0.5e0 - y1) / nullif(y2 - y1, 0e0) + x1") + " AS x",
+        f"coalesce({x_at(f'row * {t} - {SLACK!r}D')}, x1) AS xa", f"coalesce({x_at(f'(row + 1) * {t} + {SLACK!r}D')}, x2) AS xb",
+    ).selectExpr(
+        *edge, "by_tile", "row", "x",
+        either(f"CAST(greatest(floor((least(xa, xb) - {SLACK!r}D) / {t}), 0) AS INT)", "0") + " AS first_col",
+        either(f"CAST(least(floor((greatest(xa, xb) + {SLACK!r}D) / {t}), {last}) AS INT)", "0") + " AS last_col",
+    )
+    met = (
+        reach.filter("first_col <= last_col")
+        .selectExpr(*edge, "by_tile", "row", "x", "explode(sequence(first_col, last_col)) AS col")
+        .filter(f"NOT by_tile OR ({_edge_meets_box(t, 'col', 'row')})")
+        .selectExpr("zone_id", "by_tile", f"CAST({either('row', f'floor(row / {t}e0)')} AS INT) AS tr", either("NULL", "row") + " AS gy", either("col", "NULL") + " AS tc", "x")
+        .repartition("zone_id", "tr")
+    )
+    # A tile that several edges meet is crossed once.
+    before = "lag(tc) OVER (PARTITION BY zone_id, tr ORDER BY by_tile DESC, tc)"
+    once = met.selectExpr("*", f"{before} AS _before").filter("NOT by_tile OR _before IS NULL OR _before <> tc")
+    marks = once.selectExpr(
+        "zone_id", "tr", "tc", "x",
+        f"explode({either(f'sequence(tr * {t}, tr * {t} + {t - 1})', 'array(gy)')}) AS gy", "by_tile",
+    ).selectExpr("zone_id", "tr", "gy", "tc", "x", "explode(" + either("array(-1, 1)", "array(0)") + ") AS mark").selectExpr(
+        "zone_id", "tr", "gy", "tc", "mark", f"CASE mark WHEN 1 THEN CAST(tc * {t} AS DOUBLE) WHEN -1 THEN CAST((tc + 1) * {t} AS DOUBLE) ELSE x END AS x"
+    )
+    row = "(PARTITION BY zone_id, tr, gy ORDER BY x, mark)"
+    upto = "(PARTITION BY zone_id, tr, gy ORDER BY x, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return marks.selectExpr(
+        "zone_id", "tr", "gy", "mark", "x", f"lead(x) OVER {row} AS x_end",
+        f"sum(mark) OVER {upto} AS open", f"sum(CASE WHEN mark = 0 THEN 1 ELSE 0 END) OVER {upto} AS crossings",
+        f"max(CASE WHEN mark = 1 THEN tc END) OVER {upto} AS tc",
+    ).selectExpr(
+        "zone_id", "tr", "gy", "tc", "mark = 1 AS starts", "open > 0 AS in_tile", "crossings % 2 = 1 AS inside",
+        "CAST(greatest(ceil(x - 0.5e0), 0) AS INT) AS a", f"CAST(least(ceil(x_end - 0.5e0) - 1, {side - 1}) AS INT) AS b",
     )
-    return near.filter(_edge_meets_box(t)).select("zone_id", "tc", "tr")
 
 
-def _edge_meets_box(t: int) -> str:
+def _edge_meets_box(t: int, tc: str, tr: str) -> str:
     """Separating-axis test of the closed segment against the closed tile box."""
-    left, top, right, bottom = f"(tc * {t})", f"(tr * {t})", f"((tc + 1) * {t})", f"((tr + 1) * {t})"
+    left, top, right, bottom = f"({tc} * {t})", f"({tr} * {t})", f"(({tc} + 1) * {t})", f"(({tr} + 1) * {t})"
     corners = ", ".join(
         f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)" for x in (left, right) for y in (top, bottom)
     )
@@ -147,51 +186,65 @@ def _edge_meets_box(t: int) -> str:
 
 
 def polygon_cover(edges: DataFrame, grid: Grid) -> DataFrame:
-    """Tiles ``(zone_id, tc, tr, whole)`` that a polygon meets; ``whole`` ones lie inside it altogether.
+    """Tiles ``(zone_id, tc, tr, whole)`` that a polygon meets; ``whole`` ones lie inside it altogether."""
+    return swept_cover(polygon_sweep(edges, grid), grid)
 
-    A tile that no edge meets is all in or all out, and its centre tells which.  The work is the length of
-    the outline in cells plus the area in tiles, never the area in cells.
+
+def swept_cover(sweep: DataFrame, grid: Grid) -> DataFrame:
+    """The cover from a sweep.
+
+    A tile that no edge meets is all in or all out, and its first row tells which: stretches of that row between
+    crossed tiles are made of whole tiles.
     """
-    crossed = _edge_tiles(edges, grid).selectExpr("zone_id", "tc", "tr", "false AS whole")
-    runs = polygon_spans(edges, grid.tiles, unit=grid.tile)
-    centred = runs.selectExpr("zone_id", "explode(sequence(a, b)) AS tc", "gy AS tr", "true AS whole")
-    # Both kinds meet in one aggregate: a tile that an edge meets is not whole.
-    return crossed.unionByName(centred).groupBy("zone_id", "tc", "tr").agg(F.expr("bool_and(whole) AS whole"))
+    t = grid.tile
+    first = sweep.filter(f"gy = tr * {t} AND (starts OR (NOT in_tile AND inside AND a <= b))")
+    columns = f"CASE WHEN starts THEN sequence(tc, tc) ELSE sequence(CAST(floor(a / {t}e0) AS INT), CAST(floor(b / {t}e0) AS INT)) END"
+    return first.selectExpr("zone_id", f"explode({columns}) AS tc", "tr", "NOT starts AS whole")
 
 
 def polygon_touched_tiles(edges: DataFrame, grid: Grid) -> DataFrame:
     return polygon_cover(edges, grid).select("zone_id", "tc", "tr")
 
 
-def outline_spans(edges: DataFrame, cover: DataFrame, grid: Grid) -> DataFrame:
-    """Runs ``(zone_id, tc, tr, gy, a, b)`` of covered cells inside the tiles that the outline crosses.
+def outline_spans(edges: DataFrame, grid: Grid) -> DataFrame:
+    """Runs ``(zone_id, tc, tr, gy, a, b)`` of covered cells inside the tiles that the outline crosses."""
+    return swept_spans(polygon_sweep(edges, grid))
 
-    A run that begins inside a crossed tile is found by an equi join on the tile.  A run that reaches a tile from its
-    left is the last one of its row to begin before: runs and the left edges of crossed tiles are sorted together, row
-    by row.  So the work is runs plus crossed tiles times their rows, however jagged the zone.
-    """
+
+def swept_spans(sweep: DataFrame) -> DataFrame:
+    return sweep.filter("in_tile AND inside AND a <= b").select("zone_id", "tc", "tr", "gy", "a", "b")
+
+
+#: The row number of an entry that stands for a whole tile.
+WHOLE_TILE = -1
+
+
+def swept_parts(sweep: DataFrame, grid: Grid) -> DataFrame:
+    """Cover and outline spans in one table ``(zone_id, tc, tr, gy, a, b, whole)``; a tile of the cover has ``gy = WHOLE_TILE``."""
     t = grid.tile
-    runs = polygon_spans(edges, grid.size)
-    crossed = cover.filter("NOT whole").select("zone_id", "tc", "tr")
-    begun = runs.withColumns({"tc": grid.tile_of(F.col("a")), "tr": grid.tile_of(F.col("gy"))}).filter(f"a % {t} <> 0")
-    begun = begun.join(crossed, ["zone_id", "tc", "tr"])
-    rows = crossed.selectExpr("zone_id", "tc", "tr", f"explode(sequence(tr * {t}, tr * {t} + {t - 1})) AS gy")
-    marks = rows.selectExpr("zone_id", "gy", f"tc * {t} AS a", "CAST(NULL AS INT) AS b", "tc", "tr", "1 AS mark")
-    both = runs.selectExpr("zone_id", "gy", "a", "b", "CAST(NULL AS INT) AS tc", "CAST(NULL AS INT) AS tr", "0 AS mark").unionByName(marks)
-    line = "(PARTITION BY zone_id, gy ORDER BY a, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    reached = both.selectExpr("zone_id", "gy", "a", f"last_value(b) IGNORE NULLS OVER {line} AS b", "tc", "tr", "mark")
-    entered = reached.filter("mark = 1 AND b >= a")
-    columns = ["zone_id", "tc", "tr", "gy", "a", f"least(b, tc * {t} + {t - 1}) AS b"]
-    return begun.selectExpr(*columns).unionByName(entered.selectExpr(*columns))
-
-
-def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
-    """Per zone, the cells of the tiles it meets, NODATA where a cell lies outside the polygon."""
-    cover = polygon_cover(edges, grid)
-    spans = outline_spans(edges, cover, grid).drop("tr").alias("s")
-    # A tile under very many zones is split by its cells; the cover is small next to what it selects.
-    asked = cells.join(cover.select("tc", "tr").distinct(), ["tc", "tr"], "left_semi")
-    held = fan_join(asked, cover, ["tc", "tr"]).alias("h")
+    none = "CAST(NULL AS INT)"
+    tile = f"'gy', {WHOLE_TILE}, 'a', {none}, 'b', {none}, 'whole'"
+    first, stretch = f"gy = tr * {t}", "inside AND a <= b"
+    kinds = (
+        f"CASE WHEN {first} AND starts THEN array(named_struct('tc', tc, {tile}, false)) END",
+        f"CASE WHEN {first} AND NOT in_tile AND {stretch} THEN transform(sequence(CAST(floor(a / {t}e0) AS INT), CAST(floor(b / {t}e0) AS INT)), c -> named_struct('tc', c, {tile}, true)) END",
+        f"CASE WHEN in_tile AND {stretch} THEN array(named_struct('tc', tc, 'gy', gy, 'a', a, 'b', b, 'whole', CAST(NULL AS BOOLEAN))) END",
+    )
+    said = f"{first} AND (starts OR ({stretch})) OR in_tile AND {stretch}"
+    return sweep.filter(said).selectExpr("zone_id", "tr", f"explode(flatten(filter(array({', '.join(kinds)}), k -> k IS NOT NULL))) AS p").select(
+        "zone_id", "p.tc", "tr", "p.gy", "p.a", "p.b", "p.whole"
+    )
+
+
+def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Per zone, the cells of the tiles it meets, NODATA where a cell lies outside the polygon.
+
+    ``bounds`` around the zones reach the scan.  A tile under very many zones is a hot key of two plain joins, which
+    Spark splits.
+    """
+    sweep = polygon_sweep(edges, grid)
+    held = within(cells, bounds).join(swept_cover(sweep, grid), ["tc", "tr"]).alias("h")
+    spans = swept_spans(sweep).drop("tr").alias("s")
     at = "h.zone_id = s.zone_id AND h.tc = s.tc AND h.gy = s.gy AND h.gx BETWEEN s.a AND s.b"
     rest = [f"h.{c}" for c in cells.columns if c != "value"]
     value = "CASE WHEN h.whole OR s.a IS NOT NULL THEN h.value END AS value"

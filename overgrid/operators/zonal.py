@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
 from overgrid.model import Grid, place_keys
-from overgrid.operators.grid import z_order_key
-from overgrid.operators.joins import fan_join
-from overgrid.operators.vector import outline_spans, polygon_cover, polygon_spans
+from overgrid.operators.grid import within, z_order_key
+from overgrid.operators.vector import WHOLE_TILE, polygon_cover, polygon_spans, polygon_sweep, swept_parts
 
 
 def zone_bounds(edges: DataFrame, grid: Grid) -> tuple[int, int, int, int] | None:
@@ -24,14 +23,6 @@ def zone_bounds(edges: DataFrame, grid: Grid) -> tuple[int, int, int, int] | Non
     return None if row[0] is None else tuple(row)
 
 
-def within(cells: DataFrame, bounds: tuple[int, int, int, int] | None) -> DataFrame:
-    """Cells of the tiles in inclusive bounds: literals, which reach the scan."""
-    if bounds is None:
-        return cells
-    c0, r0, c1, r1 = bounds
-    return cells.filter(F.col("tc").between(c0, c1) & F.col("tr").between(r0, r1))
-
-
 def covered(cells: DataFrame, cover: DataFrame) -> DataFrame:
     """Cells of the tiles that some zone meets: what no zone asks for goes before any aggregate or shuffle."""
     tiles = cover.select("tc", "tr").distinct()
@@ -44,58 +35,70 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[in
     """``(zone_id, layer, total, data_cells, tiles)``: sum and count of data cells inside each zone, and the
     number of the layer's tiles that the zone meets.
 
-    Tiles wholly inside a zone are answered from one sum per tile; only tiles on an outline are read cell by
-    cell.  Both halves are keyed by place, not by zone, so one huge zone is spread like many small ones.  A tile
-    under very many zones is split too: by zone in the first half, by cell row in the second, where equal runs
-    of cells, as copies of a zone have, are summed once.  Only cells of tiles that a zone meets are aggregated;
-    ``bounds`` around the zones (``zone_bounds``) keep the rest of the store from being read.
+    Tiles wholly inside a zone are answered from one sum per tile.  In the tiles on an outline each row of cells has
+    running sums and counts, and a run of covered cells is two look-ups there, at its last cell and before its first.
+    So the work is runs times layers plus the cells of the met tiles once, whatever the runs' lengths.  Runs and tiles
+    come out of one sweep and meet their rows in one join, keyed by place, not by zone: one huge zone is spread like
+    many small ones, and a row under very many zones is a hot key that Spark splits.  ``bounds`` around the zones
+    (``zone_bounds``) keep the rest of the store from being read.
     """
-    cover = polygon_cover(edges, grid)
-    at_zoom = covered(within(cells.filter(F.col("zoom") == grid.zoom), bounds), cover)
-    tiles = at_zoom.groupBy(*place_keys(cells, "layer", "tc", "tr")).agg(
-        F.sum("value").alias("_sum"), F.count("value").alias("_data")
-    )
-    by_tile = (
-        fan_join(cover, tiles.drop("z"), ["tc", "tr"])
-        .groupBy("zone_id", "layer")
-        .agg(
-            F.sum(F.when(F.col("whole"), F.col("_sum"))).alias("total"),
-            F.sum(F.when(F.col("whole"), F.col("_data")).otherwise(0)).alias("data_cells"),
-            F.count(F.lit(1)).alias("tiles"),
-        )
-    )
-    spans = outline_spans(edges, cover, grid)
-    if "z" in cells.columns:
-        spans, on = z_order_key(spans), ["z", "gy"]
-    else:
-        on = ["tc", "gy"]
-    run = [*on, "a", "b"]
-    # One shuffle of the runs serves both uses: finding the distinct ones and handing their sums back.
-    spans = spans.select("zone_id", *run).repartition(*run)
-    rows = at_zoom.select("layer", *on, "gx", "value")
-    sums = (
-        rows.join(spans.select(*run).distinct(), on)
-        .filter(F.col("gx").between(F.col("a"), F.col("b")))
-        .groupBy("layer", *run)
-        .agg(F.sum("value").alias("_sum"), F.count("value").alias("_data"))
-    )
-    by_cell = (
-        spans.join(sums, run)
-        .groupBy("zone_id", "layer")
-        .agg(
-            F.sum("_sum").alias("total"),
-            F.sum("_data").alias("data_cells"),
-            F.lit(0).cast("bigint").alias("tiles"),
-        )
-    )
-    return combine_parts(by_tile.unionByName(by_cell))
+    parts = keyed(swept_parts(polygon_sweep(edges, grid), grid), cells)
+    place = place_keys(cells, "tc", "tr")
+    met = parts.filter(f"gy = {WHOLE_TILE}").select(*place).distinct()
+    at_zoom = within(cells.filter(F.col("zoom") == grid.zoom), bounds).join(met, place, "left_semi")
+    tiles = at_zoom.groupBy("layer", *place).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    tiles = tiles.select("layer", *place, F.lit(WHOLE_TILE).alias("gy"), "s", "n", F.lit(None).cast(PREFIX).alias("upto"))
+    held = prefix_rows(at_zoom).unionByName(tiles)
+    return combine_parts(run_sums(parts.join(held, [*place, "gy"]), grid))
+
+
+def keyed(places: DataFrame, cells: DataFrame) -> DataFrame:
+    """``places`` with the store's bucket column, where the store has one."""
+    return z_order_key(places) if "z" in cells.columns else places
+
+
+PREFIX = "array<struct<gx: int, s: bigint, n: bigint>>"
+
+
+def prefix_rows(cells: DataFrame) -> DataFrame:
+    """``(layer, place, gy, s, n, upto)``: for each row of cells in a tile the sum and number of its data cells, and both
+    up to every cell that it has, from left to right.  An array is as long as a tile is wide at most."""
+    row = ["layer", *place_keys(cells, "tc", "tr"), "gy"]
+    line = Window.partitionBy(*row).orderBy("gx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = cells.select(*row, "gx", F.sum("value").over(line).alias("s"), F.count("value").over(line).alias("n"))
+    upto = F.sort_array(F.collect_list(F.struct("gx", F.coalesce("s", F.lit(0).cast("bigint")).alias("s"), "n"))).cast(PREFIX)
+    rows = running.groupBy(*row).agg(upto.alias("upto"))
+    return rows.select(*row, F.expr("element_at(upto, -1).s AS s"), F.expr("element_at(upto, -1).n AS n"), "upto")
+
+
+def run_sums(met: DataFrame, grid: Grid) -> DataFrame:
+    """``(zone_id, layer, total, data_cells, tiles)`` of runs and whole tiles with the rows that they meet: one row each.
+
+    The entry up to a cell is at the cell's own place in a row that has all its cells.  Otherwise it is the last one
+    not beyond it.
+    """
+
+    def entry(cell: str) -> str:
+        at = f"get(upto, {cell} - tc * {grid.tile})"
+        return f"CASE WHEN {at}.gx = {cell} THEN {at} ELSE try_element_at(filter(upto, e -> e.gx <= {cell}), -1) END"
+
+    looked = met.selectExpr("zone_id", "layer", "gy", "whole", "s", "n", f"{entry('b')} AS last", f"{entry('a - 1')} AS before")
+    run = f"gy <> {WHOLE_TILE}"
+
+    def sums(c: str) -> str:
+        return f"CASE WHEN {run} THEN coalesce(last.{c}, 0) - coalesce(before.{c}, 0) WHEN whole THEN {c} ELSE 0 END"
+
+    return looked.selectExpr("zone_id", "layer", f"{sums('s')} AS total", f"{sums('n')} AS data_cells", f"CASE WHEN {run} THEN 0L ELSE 1L END AS tiles")
 
 
 def combine_parts(parts: DataFrame) -> DataFrame:
-    """Merge partial zonal results, of parts of the data or of increments, into one row per zone and layer."""
+    """Merge partial zonal results, of parts of the data or of increments, into one row per zone and layer.
+
+    Without data cells there is no sum.
+    """
     return parts.groupBy("zone_id", "layer").agg(
         F.sum("total").alias("total"), F.sum("data_cells").alias("data_cells"), F.sum("tiles").alias("tiles")
-    )
+    ).withColumn("total", F.when(F.col("data_cells") > 0, F.col("total")))
 
 
 def zonal_sum(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -107,7 +110,7 @@ def tile_counts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[in
     cover = polygon_cover(edges, grid)
     held = covered(within(cells.filter(F.col("zoom") == grid.zoom), bounds), cover)
     keys = held.select(*place_keys(held, "layer", "tc", "tr")).distinct().select("layer", "tc", "tr")
-    return fan_join(cover, keys, ["tc", "tr"]).groupBy("zone_id", "layer").agg(F.count(F.lit(1)).alias("tiles"))
+    return cover.join(keys, ["tc", "tr"]).groupBy("zone_id", "layer").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 def zone_area(edges: DataFrame, grid: Grid) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
 from overgrid.model import Grid, place_keys
-from overgrid.operators.grid import with_tile_key
+from overgrid.operators.grid import with_tile_key, within
 from overgrid.operators.stats import histogram_exact, quantile_breaks
 from overgrid.operators.vector import mask_by_polygon
 
@@ -55,10 +55,7 @@ def _chosen(
     if mask_layer in use:
         raise ValueError(f"{mask_layer!r} is the mask and cannot be weighted as well")
     chosen = cells.filter((F.col("zoom") == grid.zoom) & F.col("layer").isin([*use, mask_layer]))
-    if bounds:
-        c0, r0, c1, r1 = bounds
-        chosen = chosen.filter(F.col("tc").between(c0, c1) & F.col("tr").between(r0, r1))
-    return chosen
+    return within(chosen, bounds)
 
 
 def mask_tiles(cells: DataFrame, mask_layer: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overgrid.model import CELL_KEYS, WORLD_HALF, place_keys
-from overgrid.operators.grid import z_order_key
+from overgrid.operators.grid import within, z_order_key
 
 # The storage kinds that are plain paths, and their URI schemes.
 SCHEMES = {"file": "file", "hadoop": "hdfs", "s3": "s3a"}
@@ -95,10 +95,13 @@ def _plain(path: str) -> str:
     return path.removeprefix("file:").replace("//", "/").rstrip("/")
 
 
-def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of a store.  The schema is fixed, so layer names such as ``01`` stay strings."""
+def open_store(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """All cells of a store.  The schema is fixed, so layer names such as ``01`` stay strings.
+
+    ``keyed`` keeps the curve key ``z``, by which bounds skip what files hold elsewhere (``query_layer_bounds``).
+    """
     schema = "tc INT, tr INT, gx INT, gy INT, value INT, z BIGINT, layer STRING, zoom INT"
-    return spark.read.schema(schema).parquet(path).select(*CELL_KEYS, "value")
+    return spark.read.schema(schema).parquet(path).select(*CELL_KEYS, "value", *["z"] * keyed)
 
 
 def read_layer(cells: DataFrame, layers: str | Iterable[str], zoom: int) -> DataFrame:
@@ -110,9 +113,11 @@ def read_layer(cells: DataFrame, layers: str | Iterable[str], zoom: int) -> Data
 def query_layer_bounds(
     cells: DataFrame, layers: str | Iterable[str], zoom: int, bounds: tuple[int, int, int, int]
 ) -> DataFrame:
-    """Layers at one zoom, only tiles within inclusive tile bounds ``(c0, r0, c1, r1)``."""
-    c0, r0, c1, r1 = bounds
-    return read_layer(cells, layers, zoom).filter(F.col("tc").between(c0, c1) & F.col("tr").between(r0, r1))
+    """Layers at one zoom, only tiles within inclusive tile bounds ``(c0, r0, c1, r1)``.
+
+    On cells with their curve key the bounds become ranges of it, see ``within``.
+    """
+    return within(read_layer(cells, layers, zoom), bounds)
 
 
 def read_tile(cells: DataFrame, keys: DataFrame) -> DataFrame:

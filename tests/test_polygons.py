@@ -62,7 +62,7 @@ def test_cover_and_outline_make_up_the_polygon(edges):
         (whole if r["whole"] else crossed).setdefault(r["zone_id"], set()).add((r["tc"], r["tr"]))
     assert whole[1] and whole[8] and len(whole[8]) == 64 and 8 not in crossed
     cells = {k: [] for k in ZONES}
-    for r in vector.outline_spans(edges, cover, G).collect():
+    for r in vector.outline_spans(edges, G).collect():
         assert r["tr"] == r["gy"] // 8 and (r["tc"], r["tr"]) in crossed[r["zone_id"]]
         cells[r["zone_id"]] += [(i, r["gy"]) for i in range(r["a"], r["b"] + 1)]
     for k, tiles in whole.items():
@@ -226,7 +226,7 @@ def test_a_jagged_outline_is_linear(spark):
     ring = [*teeth, (3996.0, 7.9), (0.0, 7.9)]
     edges = polygon_edges(spark.createDataFrame([(1, [ring])], RINGS))
     cover = vector.polygon_cover(edges, g)
-    spans = vector.outline_spans(edges, cover, g)
+    spans = vector.outline_spans(edges, g)
     whole = cover.filter("whole").count()
     cells = {(r["gx"], r["gy"]) for r in vector.polygon_to_cells(edges, g).collect()}
     pieces = spans.collect()
