@@ -2,9 +2,11 @@
 
 The text is cut by the tokenizer's pattern.  A word that is a token is that token.  The others become rows (word,
 position, token), one for each byte; a recursive query joins neighbours with the merge table and contracts each
-word's leftmost pair of least rank until no word has one.  A worker encodes a word once and remembers it.  Words of
-more than ``LONG_WORD`` bytes would need as many rounds as they have bytes; a heap does the same merges for them.
-Decoding joins the ids of a batch of documents with the vocabulary and aggregates the bytes by position.
+word's leftmost pair of least rank until no word has one.  A query takes as many words as the rows of all its rounds
+allow, so long words come in small numbers.  A task encodes a word once and remembers it, within a bound of bytes; what
+it has learnt goes when it ends.  Words of more than ``LONG_WORD`` bytes would need as many rounds as they have bytes,
+each over all of them; a heap does the same merges for them.  Decoding joins the ids of a batch of documents with the
+vocabulary and aggregates the bytes by position.
 
 The merge table follows from the rank file: every cut of a token into two tokens.  Null texts are empty; an empty
 text has no tokens and decodes to an empty text.  An empty table gives an empty result.
@@ -13,11 +15,9 @@ text has no tokens and decodes to an empty text.  An empty table gives an empty
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
-import re
-import threading
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_WORD = 64
-#: Bounds of one query: words encoded and tokens decoded in one go, words that a worker remembers.
-WORDS_AT_ONCE = 16_384
+#: Bounds of one query: rows of all rounds of encoding, tokens decoded; and bytes of words that a task remembers, twice.
+ROWS_AT_ONCE = 600_000
 TOKENS_AT_ONCE = 400_000
-REMEMBERED = 150_000
-#: White space next to white space or at an end: only there does the pattern look past a word's own run.
-LOOSE = re.compile(r"^\s|\s\s|\s$")
+REMEMBERED = 40_000_000
+#: What a remembered word takes besides its own bytes and ids.
+ENTRY = 200
 
 ENCODE = """with recursive t(step, w, pos, tok) as (
   select 0, w, pos, tok from start
@@ -49,9 +49,7 @@ ENCODE = """with recursive t(step, w, pos, tok) as (
 select t.w, t.tok from t join (select w, max(step) as step from t group by w) z on z.w = t.w and z.step = t.step
 order by t.w, t.pos"""
 
-# One thread: the aggregate takes its rows in the order of the inner query.
-DECODE = """select d, string_agg(hex, '') as hex
-from (select d, p, hex from tokens join vocabulary using (id) order by d, p) s group by d"""
+DECODE = "select d, string_agg(hex, '' order by p) as hex from tokens join vocabulary using (id) group by d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,8 +63,7 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.known, self.known_before = {}, {}  # ids of words, and those that were known before the last turn
-        self.runs, self.runs_before = {}, {}  # of blank-separated runs of words
+        self.known, self.before, self.held = {}, {}, 0  # ids of words, those known before the last turn, bytes of the first
         self.base = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("_v", pa.table({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]}))
@@ -79,61 +76,43 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._runs(text or "") for text in texts]
-        if len(self.runs) > REMEMBERED:  # what is not asked for again until the next turn is forgotten
-            self.runs, self.runs_before = {}, self.runs
-        found = [list(map(self.runs.get, runs)) for runs in cut]
-        fresh = {run for runs, ids in zip(cut, found, strict=True) if None in ids for run, x in zip(runs, ids, strict=True) if x is None}
-        if fresh:
-            self._remember(fresh)
-            found = [list(map(self.runs.__getitem__, runs)) if None in ids else ids for runs, ids in zip(cut, found, strict=True)]
-        return list(map(b"".join, found))
-
-    def _remember(self, fresh: set[str]) -> None:
-        """Learn new runs of words."""
-        again = fresh & self.runs_before.keys()
-        self.runs.update((run, self.runs_before[run]) for run in again)
-        words = {run: self.pattern.findall(run) for run in fresh - again}
-        if len(self.known) > REMEMBERED:
-            self.known, self.known_before = {}, self.known
-        unknown = set().union(*words.values()).difference(self.known)
-        again = unknown & self.known_before.keys()
-        self.known.update((w, self.known_before[w]) for w in again)
-        self._learn(sorted(unknown - again))
-        for run, parts in words.items():
-            self.runs[run] = b"".join([self.known[w] for w in parts])
-
-    def _runs(self, text: str) -> list[str]:
-        """Parts of a text that the pattern cuts independently of each other.
-
-        Where every white space stands alone between other characters, a blank belongs to what follows it and
-        any other white space is a token of its own; otherwise the text is cut word by word.
-        """
-        if LOOSE.search(text):
-            return self.pattern.findall(text)
-        runs: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if i:
-                runs.append("\n")
-            if first:
-                runs.append(first)
-            runs += [" " + x for x in rest]
-        return runs
-
-    def _learn(self, words: list[str]) -> None:
+        cut = [self.pattern.findall(text or "") for text in texts]
+        if self.held > REMEMBERED:  # what is not asked for again until the next turn is forgotten
+            self.known, self.before, self.held = {}, self.known, 0
+        self._learn(set(chain.from_iterable(cut)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+
+    def _learn(self, words: set[str]) -> None:
         short: list[tuple[str, bytes]] = []
         for word in words:
-            raw = word.encode("utf-8")
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.known[word] = np.uint32(rank).tobytes()
-            elif len(raw) > LONG_WORD:
-                self.known[word] = np.array(merge_by_heap(raw, self.ranks), dtype="<u4").tobytes()
-            else:
-                short.append((word, raw))
-        for at in range(0, len(short), WORDS_AT_ONCE):
-            self._contract(short[at : at + WORDS_AT_ONCE])
+            ids = self.before.get(word)
+            if ids is None:
+                raw = word.encode("utf-8")
+                rank = self.ranks.get(raw)
+                if rank is not None:
+                    ids = rank.to_bytes(4, "little")
+                elif len(raw) > LONG_WORD:
+                    ids = np.array(merge_by_heap(raw, self.ranks), dtype="<u4").tobytes()
+                else:
+                    short.append((word, raw))
+                    continue
+            self._keep(word, ids)
+        # A word of n bytes has n rows in the first round and one less in each of the next.
+        short.sort(key=lambda pair: len(pair[1]))
+        some, rows = [], 0
+        for pair in short:
+            own = len(pair[1]) * (len(pair[1]) + 1) // 2
+            if some and rows + own > ROWS_AT_ONCE:
+                self._contract(some)
+                some, rows = [], 0
+            some.append(pair)
+            rows += own
+        if some:
+            self._contract(some)
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += ENTRY + len(word) + len(ids)
 
     def _contract(self, words: list[tuple[str, bytes]]) -> None:
         lengths = np.array([len(raw) for _, raw in words])
@@ -146,7 +125,7 @@ class Coder:
         ids = np.asarray(found["tok"]).astype("<u4")
         cuts = np.searchsorted(np.asarray(found["w"]), np.arange(len(words) + 1))
         for (word, _), a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.known[word] = ids[a:b].tobytes()
+            self._keep(word, ids[a:b].tobytes())
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
@@ -202,31 +181,6 @@ def merge_by_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-#: Seconds after its last task that a worker keeps what it has learnt; other stages then have the memory.
-KEPT_S = 3.0
-_CODERS: dict[tuple[int, str], Coder] = {}
-_TIMERS: list[threading.Timer] = []
-
-
-def coder_of(ranks: dict[bytes, int], pattern: str) -> Coder:
-    """The worker's coder for these ranks: what it has learnt serves the worker's next tasks too."""
-    while _TIMERS:
-        _TIMERS.pop().cancel()
-    key = (hash(frozenset(ranks.items())), pattern)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(ranks, pattern)
-    return _CODERS[key]
-
-
-def forget_soon() -> None:
-    """Drop the worker's coder unless another task asks for it within a few seconds."""
-    timer = threading.Timer(KEPT_S, _CODERS.clear)
-    timer.daemon = True
-    _TIMERS.append(timer)
-    timer.start()
-
-
 ENCODED = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
 )
@@ -241,11 +195,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
 
     @F.pandas_udf(ENCODED)
     def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(held.value, pattern)
+        coder = Coder(held.value, pattern)
         for part in parts:
             rows = [coder_rows(coder, part.iloc[at : at + 512].tolist()) for at in range(0, len(part), 512)]
             yield pd.concat(rows) if rows else pd.DataFrame({"n_tokens": [], "ids": [], "decoded": []})
-        forget_soon()
+        coder.db.close()
 
     return docs.withColumn(column, coded(F.col(f"`{text}`")))
 

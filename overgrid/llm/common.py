@@ -38,3 +38,10 @@ def text_of(column: str | Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled(value: Column, most: int, total: int) -> Column:
+    """Whether a row is among about ``most`` of ``total``, picked by 60 bits of a hash: right for any number of rows."""
+    h = F.xxhash64(value)
+    place = F.pmod(h, F.lit(1 << 20)) * F.lit(1 << 40) + F.pmod(F.shiftrightunsigned(h, 20), F.lit(1 << 40))
+    return place < F.lit((1 << 60) * min(most, total) // max(1, total))

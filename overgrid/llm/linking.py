@@ -24,6 +24,8 @@ from overgrid.operators.joins import fan_join
 GROUP_ITEMS = 20_000
 GROUP_SHINGLES = 4_000_000
 SALTS = 32
+#: Rounds of contraction, whose number grows with the logarithm of the edges; more are an error.
+ROUNDS = 100
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -63,12 +65,14 @@ def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     is written to the shared folder.
     """
     now, before = stored(_oriented(edges), f"{name}-0", folder), None
-    for k in range(1, 100):
+    for k in range(1, ROUNDS + 1):
         mark = _checksum(now)
         if mark == before:
             break
         before = mark
         now = stored(_small_star(_large_star(now)), f"{name}-{k}", folder)
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
 

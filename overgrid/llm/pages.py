@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overgrid.llm import lstm
-from overgrid.llm.common import text_of
+from overgrid.llm.common import sampled, text_of
 
 #: Documented bound of the training sample: pages (by a hash of the page), and blocks kept of each.
 TRAINING_PAGES, TRAINING_BLOCKS = 300, 200
@@ -240,7 +240,7 @@ def train(pages: DataFrame, column: str = "html") -> lstm.Labeller | None:
     """Fit on a bounded sample of pages; blocks and vectors are made on the executors and come as bytes."""
     total = pages.count()
     value = text_of(F.col(f"`{column}`"))
-    share = F.pmod(F.xxhash64(value), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, TRAINING_PAGES / max(1, total))))
+    share = sampled(value, TRAINING_PAGES, total)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

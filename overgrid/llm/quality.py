@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from overgrid.llm.common import free_name, plain
+from overgrid.llm.common import free_name, plain, sampled
 
 #: Documented bound: labelled rows that the model is fitted on (picked by a hash of the id), and pairs drawn.
 MAX_TRAINING_ROWS = 6000
@@ -135,7 +135,7 @@ def training_ids(labels: DataFrame, bound: int = MAX_TRAINING_ROWS) -> DataFrame
         .filter("low = high")
     )
     total = clean.count()
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, bound / max(1, total))))
+    share = sampled(F.col("id"), bound, total)
     return clean.filter(share).select("id", (F.col("low") == 1).alias("good"))
 
 

@@ -374,7 +374,7 @@ def test_pipeline(spark, documents, ranks):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     good = {r.doc_id for r in quality.op10_quality(spark, SF).collect() if r.predicted}
     kept = brute.dedup_lines({d: t for d, t in documents.items() if d in good})
-    root = brute.classes({d: brute.shingles(k[0]) for d, k in kept.items()}, 85)
+    root = brute.classes({d: brute.shingles(k[0]) for d, k in kept.items()}, corpus_pipeline.NEAR_PERCENT)
     items = [brute.words(x) for _, x in table("select item_id, text from '$/benchmark.parquet'")]
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = {}
