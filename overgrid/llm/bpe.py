@@ -3,8 +3,8 @@
 The text is cut by the tokenizer's pattern.  A word that is a token is that token.  The others become rows (word,
 position, token), one for each byte; a recursive query joins neighbours with the merge table and contracts each
 word's leftmost pair of least rank until no word has one.  A query takes as many words as the rows of all its rounds
-allow, so long words come in small numbers.  A task encodes a word once and remembers it, within a bound of bytes; what
-it has learnt goes when it ends.  Words of more than ``LONG_WORD`` bytes would need as many rounds as they have bytes,
+allow, so long words come in small numbers.  A worker encodes a word once and remembers it, within a bound of bytes; what
+it has learnt serves its next tasks too, and goes when none follows.  Words of more than ``LONG_WORD`` bytes would need as many rounds as they have bytes,
 each over all of them; a heap does the same merges for them.  Decoding joins the ids of a batch of documents with the
 vocabulary and aggregates the bytes by position.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import threading
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_WORD = 64
-#: Bounds of one query: rows of all rounds of encoding, tokens decoded; and bytes of words that a task remembers, twice.
+#: Bounds of one query: rows of all rounds of encoding, tokens decoded; and bytes of words that a worker remembers, twice.
 ROWS_AT_ONCE = 600_000
 TOKENS_AT_ONCE = 400_000
 REMEMBERED = 40_000_000
@@ -181,6 +182,31 @@ def merge_by_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+#: Seconds after its last task that a worker keeps what it has learnt; other stages then have the memory.
+KEPT_S = 3.0
+_CODERS: dict[tuple[int, str], Coder] = {}
+_TIMERS: list[threading.Timer] = []
+
+
+def coder_of(ranks: dict[bytes, int], pattern: str) -> Coder:
+    """The worker's coder for these ranks."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
+    key = (hash(frozenset(ranks.items())), pattern)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(ranks, pattern)
+    return _CODERS[key]
+
+
+def forget_soon() -> None:
+    """Drop the worker's coder unless another task asks for it within a few seconds."""
+    timer = threading.Timer(KEPT_S, _CODERS.clear)
+    timer.daemon = True
+    _TIMERS.append(timer)
+    timer.start()
+
+
 ENCODED = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
 )
@@ -195,11 +221,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
 
     @F.pandas_udf(ENCODED)
     def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Coder(held.value, pattern)
+        coder = coder_of(held.value, pattern)
         for part in parts:
             rows = [coder_rows(coder, part.iloc[at : at + 512].tolist()) for at in range(0, len(part), 512)]
             yield pd.concat(rows) if rows else pd.DataFrame({"n_tokens": [], "ids": [], "decoded": []})
-        coder.db.close()
+        forget_soon()
 
     return docs.withColumn(column, coded(F.col(f"`{text}`")))
 

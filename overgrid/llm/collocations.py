@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from overgrid.llm import trie
 from overgrid.llm.common import partitions, plain, shared_folder, stored, text_of
-from overgrid.llm.words import BLOCK, U, mix, word_hashes
+from overgrid.llm.words import U, mix, word_hashes
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Phrases of one trie, bits of the largest Bloom filter, bits of a slice of it, pairs that a task holds before it sends them.
@@ -39,6 +39,9 @@ TRIE_PHRASES = 250_000
 FILTER_BITS = 1 << 28
 SLICE = 1 << 18
 PAIRS_HELD = 500_000
+#: Bytes of text that make one row of the arrays, and rows of a table that are read at once.
+CHUNK = 1 << 18
+ROWS = 1024
 NO_LANG = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -47,13 +50,13 @@ SEPARATES = IS_BREAK | np.isin(np.arange(256), list(b" \t"))
 
 
 def chunks(texts: list[str | None]) -> Iterator[bytes]:
-    """The texts' bytes in runs of about ``BLOCK``, cut only between pieces."""
+    """The texts' bytes in runs of about ``CHUNK``, cut only between pieces."""
     raw = b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts) + b"\n"
     at = 0
     while at < len(raw):
-        upto = at + BLOCK
+        upto = at + CHUNK
         while upto < len(raw) and not len(ends := np.flatnonzero(IS_BREAK[np.frombuffer(raw, dtype=np.uint8, count=upto - at, offset=at)])):
-            upto += BLOCK
+            upto += CHUNK
         upto = len(raw) if upto >= len(raw) else at + int(ends[-1]) + 1
         yield raw[at:upto]
         at = upto
@@ -94,11 +97,12 @@ def encoded(docs: DataFrame, salt: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for lang, rows in part.groupby("lang"):
-                for raw in chunks(rows["text"].tolist()):
-                    codes, hashes, words, counts = coded(raw, lang, salt)
-                    if len(words):
-                        yield pd.DataFrame({"lang": [lang], "codes": [codes.tobytes()], "hashes": [hashes.tobytes()], "words": [words], "counts": [counts]})
+            for at in range(0, len(part), ROWS):
+                for lang, rows in part.iloc[at : at + ROWS].groupby("lang"):
+                    for raw in chunks(rows["text"].tolist()):
+                        codes, hashes, words, counts = coded(raw, lang, salt)
+                        if len(words):
+                            yield pd.DataFrame({"lang": [lang], "codes": [codes.tobytes()], "hashes": [hashes.tobytes()], "words": [words], "counts": [counts]})
 
     return docs.mapInPandas(run, "lang string, codes binary, hashes binary, words array<string>, counts array<long>")
 
