@@ -42,6 +42,8 @@ PAIRS_HELD = 500_000
 #: Bytes of text that make one row of the arrays, and rows of a table that are read at once.
 CHUNK = 1 << 18
 ROWS = 1024
+#: Counts of one row that a task sends.
+COUNTS = 512
 NO_LANG = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -185,39 +187,55 @@ def safe_pairs(codes: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray])
     return key[at], key[at + 1]
 
 
-def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
-    """``(a, b, n)``: how often each Apriori-safe run of ``len(filters) + 1`` words stands in parts of the corpus."""
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, inverse = np.unique(key, return_inverse=True)
+    return distinct, np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
+
 
-    def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(combine(a, b), kind="stable")
-        a, b, n = a[order], b[order], n[order]
-        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return a[heads], b[heads], np.add.reduceat(n, heads)
+def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
+    """``(key, n)``: how often Apriori-safe runs of ``len(filters) + 1`` words stand in parts of the corpus, by their keys."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, held, size = [f.value for f in filters], [], 0
         for part in parts:
             for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
-                a, b = safe_pairs(*read_back(codes, hashes), tables)
-                if not len(a):
-                    continue
-                held.append(summed(a, b, np.ones(len(a), dtype=np.int64)))
+                key = combine(*safe_pairs(*read_back(codes, hashes), tables))
+                held.append(_summed(key, np.ones(len(key))))
                 size += len(held[-1][0])
                 if size > PAIRS_HELD:
-                    held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0])
                     if size > PAIRS_HELD // 2:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from rows(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(a), 1 << 16):
+    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(key), 1 << 16):
             some = slice(at, at + (1 << 16))
-            yield pd.DataFrame({"a": a[some].view(np.int64), "b": b[some].view(np.int64), "n": n[some]})
+            yield pd.DataFrame({"key": key[some].view(np.int64), "n": n[some]})
+
+    return arrays.select("codes", "hashes").mapInPandas(run, "key long, n long")
 
-    return arrays.select("codes", "hashes").mapInPandas(run, "a long, b long, n long")
+
+def pairs_of(arrays: DataFrame, filters: list, wanted) -> DataFrame:
+    """``(key, a, b)``: the runs whose keys the filter ``wanted`` may hold, with the keys of what they are made of."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [f.value for f in filters]
+        for part in parts:
+            held = []
+            for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
+                a, b = safe_pairs(*read_back(codes, hashes), tables)
+                key = combine(a, b)
+                at = np.flatnonzero(known(wanted.value, key))
+                at = at[np.unique(key[at], return_index=True)[1]]
+                held.append(np.stack((key[at], a[at], b[at])).view(np.int64))
+            found = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((3, 0), dtype=np.int64)
+            yield pd.DataFrame({"key": found[0], "a": found[1], "b": found[2]})
+
+    return arrays.select("codes", "hashes").mapInPandas(run, "key long, a long, b long").distinct()
 
 
 @F.pandas_udf(T.LongType())
@@ -235,8 +253,12 @@ def candidates(arrays: DataFrame, words: DataFrame, folder: str, least: int, lon
             if not count:
                 break
             filters.append(sc.broadcast(bloom(level, count)))  # FILTER_BITS / 8 bytes at most
-            pairs = pair_counts(arrays, filters).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            pairs = stored(pairs.select("a", "b"), f"pairs-{m}", folder)
+            # Counts travel by key alone; what the few frequent keys are made of is looked up afterwards.
+            often = pair_counts(arrays, filters).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            often = stored(often.select("key"), f"keys-{m}", folder)
+            wanted = sc.broadcast(bloom(often, often.count()))
+            pairs = stored(pairs_of(arrays, filters, wanted).join(often, "key", "left_semi").select("a", "b"), f"pairs-{m}", folder)
+            wanted.unpersist()
             first = level.select(F.col("key").alias("a"), "lang", "phrase")
             second = level.select(F.col("key").alias("b"), F.col("lang").alias("lang_b"), "last")
             named = pairs.join(first, "a").join(second, "b").filter("lang = lang_b")
@@ -272,6 +294,28 @@ def built_tries(phrases: DataFrame, salt: int) -> DataFrame:
     return phrases.groupBy("shard").applyInPandas(run, TRIES)
 
 
+def summed_blocks(parts: DataFrame) -> DataFrame:
+    """``(at, f)``: sums of the parts' counts ``(block, counts)``, block by block as a stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, None
+        for batch in batches:
+            for number, raw in zip(batch["block"], batch["counts"], strict=True):
+                if number != block:
+                    if block is not None:
+                        yield rows(block, held)
+                    block, held = number, np.zeros(len(raw) // 8, dtype=np.int64)
+                held += np.frombuffer(raw, dtype=np.int64)
+        if block is not None:
+            yield rows(block, held)
+
+    def rows(block: int, held: np.ndarray) -> pd.DataFrame:
+        at = np.flatnonzero(held)
+        return pd.DataFrame({"at": at + block * COUNTS, "f": held[at]})
+
+    return parts.repartition(partitions(parts.sparkSession), "block").sortWithinPartitions("block").mapInPandas(run, "at long, f long")
+
+
 def counted(arrays: DataFrame, phrases: DataFrame, folder: str, longest: int, salt: int, most: int = TRIE_PHRASES) -> DataFrame:
     """``(lang, phrase, f)``: how often each of the phrases stands in the corpus, by one trie after the other."""
     spark = arrays.sparkSession
@@ -294,10 +338,10 @@ def counted(arrays: DataFrame, phrases: DataFrame, folder: str, longest: int, sa
                 for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
                     codes, hashes = read_back(codes, hashes)
                     made.count(made.ids(hashes)[codes], longest, counts)
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"at": at, "n": counts[at]})
+            blocks = [(k, counts[at : at + COUNTS].tobytes()) for k, at in enumerate(range(0, n, COUNTS)) if counts[at : at + COUNTS].any()]
+            yield pd.DataFrame(blocks, columns=["block", "counts"])
 
-        told = arrays.select("codes", "hashes").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("f"))
+        told = summed_blocks(arrays.select("codes", "hashes").mapInPandas(run, "block int, counts binary"))
         sums.append(stored(told.withColumn("shard", F.lit(shard)), f"sums-{shard}", folder))
         held.destroy()
     names = tries.select("shard", F.posexplode("phrases").alias("at", "p")).select("shard", F.col("at").cast("long").alias("at"), "p.lang", "p.phrase")
