@@ -25,6 +25,17 @@ def layer_weight_pairs(requests: DataFrame, strict: bool = False) -> DataFrame:
     return out.select(*rest, "pos", F.col("pair.layer").alias("layer"), weight.alias("weight"))
 
 
+def weighed_layers(layers: str = "layers", weights: str = "weights") -> Column:
+    """The pairs of two comma lists as one sorted array of ``(layer, weight)``; weights that are no number are left out."""
+    names, numbers = _entries(layers), _entries(weights)
+    pairs = F.slice(F.arrays_zip(names.alias("layer"), numbers.alias("weight")), 1, F.least(F.size(names), F.size(numbers)))
+    whole = F.transform(
+        pairs, lambda p: F.struct(p["layer"].alias("layer"), F.when(p["weight"].rlike(r"^[+-]?[0-9]+$"), p["weight"]).try_cast("int").alias("weight"))
+    )
+    kept = F.filter(whole, lambda p: p["weight"].isNotNull())
+    return F.array_sort(F.coalesce(kept, F.array().cast("array<struct<layer:string,weight:int>>")))
+
+
 def _entries(column: str) -> Column:
     """A comma list without the empty entries at its end; a list of commas alone has none."""
     cut = F.regexp_replace(column, ",+$", "")

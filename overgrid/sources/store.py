@@ -120,16 +120,37 @@ def query_layer_bounds(
     return within(read_layer(cells, layers, zoom), bounds)
 
 
+TILE_KEY = ["layer", "zoom", "tc", "tr"]
+
+
+def in_world(keys: DataFrame) -> DataFrame:
+    """Keys ``(zoom, tc, tr)`` of tiles that the square world has; no other key can have a cell.
+
+    To Spark this is a filter on the keys' side of a join, which it needs before it has the keys prune the other side:
+    partitions of layers and zooms are left unread, and files meet a runtime filter on the tile.
+    """
+    return keys.filter("zoom BETWEEN 0 AND 30 AND tc >= 0 AND tr >= 0 AND tc < shiftleft(1, zoom) AND tr < shiftleft(1, zoom)")
+
+
 def read_tile(cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """The cells of a table of tile keys ``(layer, zoom, tc, tr)``."""
-    on = ["layer", "zoom", "tc", "tr"]
-    return cells.join(keys.select(*on), on, "left_semi")
+    """The cells of a table of tile keys ``(layer, zoom, tc, tr)``; the keys prune the scan, see ``in_world``.
+
+    On cells with their curve key ``z`` (``open_store(keyed=True)``, bucketed tables) the keys are joined by it too, so
+    a bucketed table stays where it is.
+    """
+    wanted = in_world(keys.select(*TILE_KEY))
+    if "z" not in cells.columns:
+        return cells.join(wanted, TILE_KEY, "left_semi")
+    return cells.join(z_order_key(wanted), [*TILE_KEY, "z"], "left_semi")
 
 
 def missing_tiles(cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keys for which there is no tile."""
-    on = ["layer", "zoom", "tc", "tr"]
-    return keys.join(cells.select(*on).distinct(), on, "left_anti")
+    """The keys for which there is no tile.
+
+    Only key columns of wanted tiles are read, each found tile is one row, and the anti join is as small as the keys.
+    """
+    found = read_tile(cells.select(*place_keys(cells, *TILE_KEY)), keys.select(*TILE_KEY).distinct()).select(*TILE_KEY).distinct()
+    return keys.join(found, TILE_KEY, "left_anti")
 
 
 def layer_metadata(cells: DataFrame, tile: int | None = None) -> DataFrame:
