@@ -109,16 +109,17 @@ def class_index(value: Column, breaks: Sequence[int]) -> Column:
 def classify_cells(cells: DataFrame, legend: DataFrame, by: tuple[str, ...], fallback: int = TRANSPARENT) -> DataFrame:
     """Add ``class`` and ``rgba`` under a legend table ``(*by, k, brk, rgba)``, one legend per ``by``.
 
-    Each distinct value is classified once, under a legend that is one sorted array as long as the breaks asked for;
-    cells then take class and color by an equi join on their value.
+    Each distinct value, NODATA too, is classified once, under a legend that is one sorted array as long as the breaks
+    asked for; cells then take class and color by one equi join on their value.  Cells without a legend give no row.
     """
     entry = F.struct("k", "brk", "rgba")
     held = legend.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_legend"))
     found = F.get(F.filter("_legend", lambda e: F.col("value") <= e["brk"]), F.lit(0))
-    values = cells.filter("value IS NOT NULL").select(*by, "value").distinct()
-    hits = fan_join(values, held, list(by)).select(*by, "value", found.alias("_hit"))
-    hits = hits.select(*by, "value", F.col("_hit.k").alias("class"), F.col("_hit.rgba").alias("_rgba"))
-    known = fan_join(cells, legend.select(*by).distinct(), list(by), "left_semi")
-    classed = fan_join(known, hits, [*by, "value"], "left")
-    color = F.when(F.col("value").isNull(), F.lit(TRANSPARENT)).otherwise(F.coalesce("_rgba", F.lit(fallback)))
-    return classed.withColumn("rgba", color.cast("bigint")).drop("_rgba")
+    hits = fan_join(cells.select(*by, "value").distinct(), held, list(by)).withColumn("_hit", found)
+    color = F.when(F.col("value").isNull(), F.lit(TRANSPARENT)).otherwise(F.coalesce("_hit.rgba", F.lit(fallback))).cast("bigint")
+    names = [f"_by{i}" for i in range(len(by))]
+    known = hits.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col("value").alias("_value"), F.col("_hit.k").alias("class"), color.alias("rgba"))
+    same = F.col("value").eqNullSafe(F.col("_value"))
+    for b, n in zip(by, names):
+        same &= F.col(b) == F.col(n)
+    return cells.join(known, same).drop("_value", *names)

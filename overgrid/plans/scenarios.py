@@ -76,13 +76,19 @@ def signatures(cells: DataFrame, layers: Sequence[str], mask_layer: str | None =
 
 
 def score_signatures(
-    sigs: DataFrame, layers: Sequence[str], scenarios: DataFrame, nodata: str = "propagate", keep: tuple[str, ...] = ()
+    sigs: DataFrame,
+    layers: Sequence[str],
+    scenarios: DataFrame,
+    nodata: str = "propagate",
+    keep: tuple[str, ...] = (),
+    named: str | None = None,
 ) -> DataFrame:
     """Value of each distinct signature in each scenario: ``(*signature, *keep, scenario_id, value)``.
 
-    A scenario that weighs none of a signature's layers does not cover it and gives no row.
+    With ``named``, a column that tells the signatures apart, it stands for the signature in the result, and only it
+    is grouped by.  A scenario that weighs none of a signature's layers does not cover it and gives no row.
     """
-    key = [*_key(layers), *keep]
+    key = [*([named, SHOWN] if named else _key(layers)), *keep]
     slots = [
         F.struct(
             F.lit(name).alias("layer"),
@@ -98,6 +104,21 @@ def score_signatures(
     return scored.withColumn("value", F.when(F.col(SHOWN), F.col("value")))
 
 
+def signature_ids(pixels: DataFrame, layers: Sequence[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pixels ``(zoom, gx, gy, sig)``, and the dictionary ``(sig, *signature)`` with one row for each id.
+
+    The id is a hash of the signature.  Two signatures of one id are told apart by a second hash, of which the
+    dictionary's aggregate sees the least and the greatest: they are an error that asks for another ``seed``.
+    """
+    key = _key(layers)
+    named = pixels.withColumn("sig", F.xxhash64(F.lit(seed), *key))
+    again = F.xxhash64(F.lit(~seed), *key)
+    whole = named.groupBy("sig").agg(*[F.any_value(c).alias(c) for c in key], F.min(again).alias("_least"), F.max(again).alias("_most"))
+    clash = F.raise_error(F.lit("two signatures have one id: take another seed"))
+    known = whole.select(F.when(F.col("_least") == F.col("_most"), F.col("sig")).otherwise(clash).alias("sig"), *key)
+    return named.select("zoom", "gx", "gy", "sig"), known
+
+
 def scenario_overlay(
     cells: DataFrame,
     layers: Sequence[str],
@@ -105,17 +126,16 @@ def scenario_overlay(
     grid: Grid,
     mask_layer: str | None = MASK,
     nodata: str = "propagate",
+    seed: int = 0,
 ) -> DataFrame:
     """Masked overlay of every scenario: ``(scenario_id, zoom, tc, tr, gx, gy, value)``.
 
-    Cells meet their signature's scores once, as one array over the scenarios; a signature that most cells
-    share is split over several tasks.
+    Cells meet their signature's scores by its id (``signature_ids``), one number whatever the layers; a signature
+    that most cells share is a hot key of a plain join, which Spark splits.
     """
-    key = _key(layers)
-    pixels = signatures(cells.filter(F.col("zoom") == grid.zoom), layers, mask_layer)
-    scored = score_signatures(pixels.select(*key).distinct(), layers, scenarios, nodata)
-    known = scored.groupBy(*key).agg(F.collect_list(F.struct("scenario_id", "value")).alias("scores"))
-    out = fan_join(pixels, known, key).select("zoom", "gx", "gy", F.inline("scores"))
+    pixels, known = signature_ids(signatures(cells.filter(F.col("zoom") == grid.zoom), layers, mask_layer), layers, seed)
+    scored = score_signatures(known, layers, scenarios, nodata, named="sig")
+    out = fan_join(pixels, scored.select("sig", "scenario_id", "value"), ["sig"])
     return with_tile_key(out, grid).select("scenario_id", "zoom", "tc", "tr", "gx", "gy", "value")
 
 

@@ -277,3 +277,32 @@ def test_keys_of_mixed_zooms(spark):
     rows = grid_ops.key_to_extent(keys, Grid(256, 9)).orderBy("zoom").collect()
     assert (rows[0]["xmin"], rows[0]["ymax"], rows[0]["xmax"]) == (-WORLD_HALF, WORLD_HALF, WORLD_HALF)
     assert (rows[1]["xmin"], rows[1]["ymax"], rows[1]["xmax"]) == (0.0, 0.0, WORLD_HALF)
+
+
+def test_signatures_are_named_by_one_number(spark, make_cells):
+    cells = make_cells({"a": [[1, 2, None, 1]], "b": [[1, 1, 1, "-"]]}, G)
+    pixels, known = scenarios.signature_ids(scenarios.signatures(cells, ["a", "b"]), ["a", "b"])
+    assert pixels.columns == ["zoom", "gx", "gy", "sig"]
+    assert known.count() == known.select("sig").distinct().count() == 4
+    table = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (2, "a", 1)], "scenario_id INT, layer STRING, weight INT")
+    plan = scenarios.scenario_overlay(cells, ["a", "b"], table, G, mask_layer=None)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any(f"v{i}#" in line for line in joins for i in range(2))
+
+
+def test_two_signatures_of_one_id_are_an_error(spark, make_cells, monkeypatch):
+    cells = make_cells({"a": [[1, 2]]}, G)
+    hashed = F.xxhash64
+    calls = iter([lambda *columns: F.lit(7).cast("bigint"), hashed])  # the first hash names, the second checks
+    monkeypatch.setattr(scenarios.F, "xxhash64", lambda *columns: next(calls)(*columns))
+    _, known = scenarios.signature_ids(scenarios.signatures(cells, ["a"]), ["a"])
+    with pytest.raises(Exception, match="another seed"):
+        known.collect()
+
+
+def test_classes_of_nodata_and_of_cells_without_legend(spark):
+    cells = spark.createDataFrame([("x", 1, None), ("x", 2, 5), ("x", 3, 99), ("y", 4, 5), (None, 5, 5)], "id STRING, at INT, value INT")
+    legend = spark.createDataFrame([("x", 1, 5, 111), ("x", 2, 9, 222)], "id STRING, k INT, brk INT, rgba BIGINT")
+    classed = color.classify_cells(cells, legend, ("id",), fallback=7)
+    assert sorted((r["at"], r["class"], r["rgba"]) for r in classed.collect()) == [(1, None, 0), (2, 1, 111), (3, None, 7)]
+    assert classed.columns == ["id", "at", "value", "class", "rgba"]
