@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overgrid.model import CELL_KEYS, WORLD_HALF, place_keys
+from overgrid.model import CELL_KEYS, place_keys
+from overgrid.operators.changes import merge_statistics, metadata_of, tile_statistics
 from overgrid.operators.grid import within, z_order_key
 
 # The storage kinds that are plain paths, and their URI schemes.
@@ -159,38 +160,30 @@ def layer_metadata(cells: DataFrame, tile: int | None = None) -> DataFrame:
 
     Counting goes tile by tile first, so that no task sees more than the tiles of one layer.
     """
-    tiles = cells.groupBy(*place_keys(cells, "layer", "zoom", "tc", "tr")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("value").alias("d"),
-        F.min("gx").alias("x0"),
-        F.min("gy").alias("y0"),
-        F.max("gx").alias("x1"),
-        F.max("gy").alias("y1"),
-    )
-    told = tiles.groupBy("layer", "zoom").agg(
-        F.min("tc").alias("c0"),
-        F.min("tr").alias("r0"),
-        F.max("tc").alias("c1"),
-        F.max("tr").alias("r1"),
-        F.min("x0").alias("gx0"),
-        F.min("y0").alias("gy0"),
-        F.max("x1").alias("gx1"),
-        F.max("y1").alias("gy1"),
-        F.count(F.lit(1)).alias("tiles"),
-        F.sum("n").alias("cells"),
-        F.sum("d").alias("data_cells"),
-    )
-    if tile is None:
-        return told
-    side = F.lit(2 * WORLD_HALF / tile) / F.expr("shiftleft(1L, zoom)")
-    return told.withColumns(
-        {
-            "xmin": F.col("gx0") * side - WORLD_HALF,
-            "ymin": WORLD_HALF - (F.col("gy1") + 1) * side,
-            "xmax": (F.col("gx1") + 1) * side - WORLD_HALF,
-            "ymax": WORLD_HALF - F.col("gy0") * side,
-        }
-    )
+    return metadata_of(tile_statistics(cells), tile)
+
+
+def write_batch(cells: DataFrame, path: str, batch: str) -> None:
+    """Add cells of places that the store does not have yet, and the statistics of these cells alone.
+
+    A batch has folders of its own for both, so writing it again after a failure repairs it and counts nothing twice.
+    The statistics are taken from the written files: ``cells`` are computed once, and no earlier batch is read.
+    """
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    write_layer(cells, folder)
+    tile_statistics(open_store(cells.sparkSession, folder)).write.mode("overwrite").parquet(f"{statistics_path(path)}/batch={batch}")
+
+
+def statistics_path(path: str) -> str:
+    return f"{path.rstrip('/')}.statistics"
+
+
+STATISTICS = "layer STRING, zoom INT, tc INT, tr INT, n BIGINT, d BIGINT, total BIGINT, x0 INT, y0 INT, x1 INT, y1 INT"
+
+
+def open_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics by tile of a store written in batches, those of all batches merged; cells are not read."""
+    return merge_statistics(spark.read.schema(STATISTICS).parquet(statistics_path(path)).drop("batch"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from workloads import registry
 
 
 def _load() -> None:
-    from workloads import colors, gridding, local, pictures, scenarios, store, sums, zones  # noqa: F401
+    from workloads import changes, colors, gridding, local, pictures, runs, scenarios, store, sums, zones  # noqa: F401
 
 
 def all_queries() -> dict[str, registry.Query]:
