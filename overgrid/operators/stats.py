@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values are cut into ranges of 2^16 before cumulating, so that no window ever sees more rows than that.
+# Values are narrowed to ranges of 2^16, those of 64 bits to ranges of 2^42 and then 2^21.
 RANGE_BITS = 16
+RADIX_SHIFTS = {"bigint": (42, 21)}
 
 
 def histogram_exact(cells: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
@@ -15,44 +16,38 @@ def histogram_exact(cells: DataFrame, by: tuple[str, ...] = (), weight: Column |
     return cells.filter(F.col("value").isNotNull()).groupBy(*by, "value").agg(n.cast("bigint").alias("n"))
 
 
-def cumulate(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``before`` and ``upto``, the counts of smaller and of not larger values, and ``total``.
-
-    Running sums over the totals of value ranges come first, then those over the values inside each range.  The
-    ranges of 64-bit values are themselves cut in ranges, up to four steps, so no window sees more than 2^16 rows.
-    """
-    ranged = hist.withColumn("_range", F.shiftright(F.col("value").cast("bigint"), RANGE_BITS))
-    steps = 3 if dict(hist.dtypes)["value"] == "bigint" else 1
-    sums = _bases(ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n")), by, steps)
-    running = F.sum("n").over(Window.partitionBy(*by, "_range").orderBy("value"))
-    inner = ranged.withColumn("_run", running).join(sums, [*by, "_range"])
-    upto = F.col("_base") + F.col("_run")
-    return inner.withColumns({"upto": upto, "before": upto - F.col("n")}).drop("_range", "_base", "_run")
-
-
-def _bases(sums: DataFrame, by: tuple[str, ...], steps: int) -> DataFrame:
-    """``(*by, _range, _base, total)`` from the totals ``_n`` of ranges: base counts all smaller ranges."""
-    if steps == 1:
-        before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
-        return sums.select(*by, "_range", before.alias("_base"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))
-    wide = sums.withColumn("_wide", F.shiftright("_range", RANGE_BITS))
-    inside = F.sum("_n").over(Window.partitionBy(*by, "_wide").orderBy("_range")) - F.col("_n")
-    above = _bases(wide.groupBy(*by, F.col("_wide").alias("_range")).agg(F.sum("_n").alias("_n")), by, steps - 1)
-    above = above.withColumnsRenamed({"_range": "_wide", "_base": "_above"})
-    joined = wide.withColumn("_inside", inside).join(above, [*by, "_wide"])
-    return joined.select(*by, "_range", (F.col("_above") + F.col("_inside")).alias("_base"), "total")
-
-
 def quantile_breaks(hist: DataFrame, n: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, k, brk)`` for k = 1..n: the smallest value that at least k/n of the cells do not exceed.
 
-    ``n`` is a number or the name of a column.  A value is break k exactly if its running count steps over
-    k/n of the total, so each histogram row tells its own k's and nothing has to be searched.
+    ``n`` is a number or the name of a column that is the same in all rows of a ``by``.  A value is break k exactly if
+    its running count steps over k/n of the total, so each histogram row tells its own k's and nothing has to be
+    searched.  The same holds for ranges of values, so a histogram is first narrowed to the ranges that hold a break (n
+    at most), for 64-bit values twice, and only these are cumulated.  A window sees 2^22 rows of its range at most.
     """
     count = F.col(n) if isinstance(n, str) else F.lit(n)
-    running = cumulate(hist.withColumn("_n", count.cast("bigint")), by)
-    steps = running.withColumns(
-        {"_k0": F.expr("(before * _n) div total + 1"), "_k1": F.expr("(upto * _n) div total")}
-    ).filter("_k0 <= _k1")
-    each = steps.select(*by, F.explode(F.sequence("_k0", "_k1")).alias("k"), F.col("value").alias("brk"))
+    zero = F.lit(0).cast("bigint")
+    held = hist.select(*by, "value", "n", count.cast("bigint").alias("_n"), zero.alias("_base"), zero.alias("_total"))
+    within: list[str] = []
+    for step, shift in enumerate(RADIX_SHIFTS.get(dict(hist.dtypes)["value"], (RANGE_BITS,))):
+        name = f"_range{step}"
+        held = held.withColumn(name, F.shiftright(F.col("value").cast("bigint"), shift))
+        sums = held.groupBy(*by, *within, name).agg(
+            F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("_n", "_base", "_total")]
+        )
+        if step == 0:
+            sums = sums.withColumn("_total", F.sum("n").over(Window.partitionBy(*by)))
+        ranges = _with_breaks(sums, [*by, *within], name)
+        held = held.drop("_n", "_base", "_total").join(ranges.select(*by, name, "_n", F.col("_before").alias("_base"), "_total"), [*by, name])
+        within = [name]
+    each = _with_breaks(held, [*by, *within], "value").select(*by, F.explode(F.sequence("_k0", "_k1")).alias("k"), F.col("value").alias("brk"))
     return each.withColumn("k", F.col("k").cast("int"))
+
+
+def _with_breaks(counts: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Rows that hold a break, with the first and last ``_k0, _k1`` of them and the count ``_before`` of all smaller
+    values; rows ``within`` a range start from its ``_base``."""
+    upto = F.col("_base") + F.sum("n").over(Window.partitionBy(*within).orderBy(order))
+    running = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("n"))
+    return running.withColumns(
+        {"_k0": F.expr("(_before * _n) div _total + 1"), "_k1": F.expr("(_upto * _n) div _total")}
+    ).filter("_k0 <= _k1")

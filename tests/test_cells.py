@@ -306,3 +306,24 @@ def test_classes_of_nodata_and_of_cells_without_legend(spark):
     classed = color.classify_cells(cells, legend, ("id",), fallback=7)
     assert sorted((r["at"], r["class"], r["rgba"]) for r in classed.collect()) == [(1, None, 0), (2, 1, 111), (3, None, 7)]
     assert classed.columns == ["id", "at", "value", "class", "rgba"]
+
+
+def test_breaks_of_wide_values_by_group(spark):
+    """64-bit values of every magnitude and sign, a number of breaks for each group, hot values."""
+    rng = random.Random(9)
+    data = [(g, rng.choice((-1, 1)) * rng.getrandbits(rng.randint(1, 63))) for g in ("a", "b") for _ in range(400)]
+    data += [("a", -(1 << 63)), ("b", (1 << 63) - 1), ("c", 5)] + [("b", 7)] * 300
+    cells = spark.createDataFrame(data, "g string, value bigint")
+    asked = {"a": 11, "b": 4, "c": 3}
+    counts = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])[F.col("g")]
+    hist = stats.histogram_exact(cells, ("g",)).withColumn("breaks", counts)
+    told = stats.quantile_breaks(hist, "breaks", ("g",))
+    got = {(r["g"], r["k"]): r["brk"] for r in told.collect()}
+    want = {}
+    for g, n in asked.items():
+        ordered = sorted(v for name, v in data if name == g)
+        want |= {(g, k): ordered[-(-k * len(ordered) // n) - 1] for k in range(1, n + 1)}
+    assert got == want
+    ran = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in ran.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert 0 < len(shuffles) <= 9
