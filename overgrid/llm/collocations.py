@@ -224,16 +224,31 @@ def pairs_of(arrays: DataFrame, filters: list, wanted) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = [f.value for f in filters]
+        held, size = [], 0
         for part in parts:
-            held = []
             for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
                 a, b = safe_pairs(*read_back(codes, hashes), tables)
                 key = combine(a, b)
                 at = np.flatnonzero(known(wanted.value, key))
                 at = at[np.unique(key[at], return_index=True)[1]]
-                held.append(np.stack((key[at], a[at], b[at])).view(np.int64))
-            found = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((3, 0), dtype=np.int64)
-            yield pd.DataFrame({"key": found[0], "a": found[1], "b": found[2]})
+                held.append((key[at], a[at], b[at]))
+                size += len(at)
+                if size > PAIRS_HELD:
+                    held = [distinct(held)]
+                    size = len(held[0][0])
+                    if size > PAIRS_HELD // 2:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*distinct(held))
+
+    def distinct(held: list) -> tuple[np.ndarray, ...]:
+        key, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        first = np.unique(key, return_index=True)[1]
+        return key[first], a[first], b[first]
+
+    def rows(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": key.view(np.int64), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return arrays.select("codes", "hashes").mapInPandas(run, "key long, a long, b long").distinct()
 
