@@ -43,11 +43,14 @@ def pack_tiles(cells: DataFrame, grid: Grid, by: list[str] = TILE, value: str =
     A repeated cell counts once, with its greatest value.
     """
     entry = F.struct(grid.offset_of(F.col("gx"), F.col("gy")).alias("i"), F.col(value).alias("v"))
-    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    # Each entry is followed by the gap up to the next one; the first also follows the gap before it.
-    once = "filter(_all, (e, k) -> coalesce(get(_all, k + 1).i <> e.i, true))"
-    gap = f"coalesce(get(_e, k + 1).i, {grid.tile_cells}) - e.i - 1"
-    filled = f"flatten(transform(_e, (e, k) -> concat(array(e.v), {_nulls(gap)})))"
+    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    # Each entry is zipped with the next one, so that no lambda holds the whole array: the optimizer may copy the
+    # array's own expression to where it is used, and inside a lambda that would be once an entry.
+    follow = "slice({0}, 2, size({0}))"
+    once = f"transform(filter(zip_with(_all, {follow.format('_all')}, (e, f) -> struct(e AS e, f.i AS after)), p -> coalesce(p.after <> p.e.i, true)), p -> p.e)"
+    gap = f"coalesce(f.i, {grid.tile_cells}) - e.i - 1"
+    gaps = f"flatten(zip_with(_e, {follow.format('_e')}, (e, f) -> concat(array(e.v), {_nulls(gap)})))"
+    filled = f"CASE WHEN size(_e) = {grid.tile_cells} THEN transform(_e, e -> e.v) ELSE {gaps} END"
     whole = packed.selectExpr(*by, f"{once} AS _e").selectExpr(*by, f"concat({_nulls('get(_e, 0).i')}, {filled}) AS cells")
     return whole.select(*by, zcurve.z_encode("tc", "tr", grid.zoom).alias("z"), "cells")
 
@@ -58,7 +61,8 @@ def _nulls(count: str) -> str:
 
 def unpack_tiles(tiles: DataFrame, grid: Grid) -> DataFrame:
     """Packed tiles back to cells, absent ones as NODATA."""
-    each = tiles.select(*TILE, F.posexplode("cells").alias("_i", "value"))
+    # The outer explode keeps the optimizer from testing the arrays' size up front, which would make them twice.
+    each = tiles.select(*TILE, F.posexplode_outer("cells").alias("_i", "value")).filter("_i IS NOT NULL")
     i = F.col("_i")
     gx = F.col("tc") * grid.tile + i % grid.tile
     gy = F.col("tr") * grid.tile + F.floor(i / grid.tile)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from overgrid.model import WORLD_HALF, Grid
+from overgrid.model import CELLS, WORLD_HALF, Grid
 from overgrid.operators import color, grid as grid_ops, local, requests, stats, tiles
 from overgrid.plans import overlay, scenarios
 
@@ -327,3 +327,17 @@ def test_breaks_of_wide_values_by_group(spark):
     ran = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     shuffles = [line for line in ran.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
     assert 0 < len(shuffles) <= 9
+
+
+def test_unpacked_tiles_are_packed_once(spark):
+    """No filter repeats the packing, and a repeated, a NULL and a single cell come back as they are."""
+    grid = Grid(tile=64, zoom=2)
+    rows = [("a", 2, 1, 0, 64, 0, 5), ("a", 2, 1, 0, 64, 0, 7), ("a", 2, 1, 0, 70, 3, None), ("b", 2, 0, 0, 63, 63, 2)]
+    full = [("c", 2, 0, 0, x, y, x * y) for x in range(64) for y in range(64)]
+    back = tiles.unpack_tiles(tiles.pack_tiles(spark.createDataFrame(rows + full, CELLS), grid), grid)
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "flatten" in line]
+    got = {(r.layer, r.gx, r.gy): r.value for r in back.collect()}
+    assert len(got) == 3 * 4096
+    assert {k: v for k, v in got.items() if v is not None and k[0] != "c"} == {("a", 64, 0): 7, ("b", 63, 63): 2}
+    assert all(got["c", x, y] == x * y for x in range(64) for y in range(64))
