@@ -139,6 +139,15 @@ def scenario_overlay(
     return with_tile_key(out, grid).select("scenario_id", "zoom", "tc", "tr", "gx", "gy", "value")
 
 
+def scenario_histogram(cells: DataFrame, layers: Sequence[str], scenarios: DataFrame, zoom: int) -> DataFrame:
+    """Cells per value of every scenario's unmasked overlay: ``(scenario_id, value, n)``."""
+    key = _key(layers)
+    typed = cells.filter(F.col("zoom") == zoom).withColumn("value", cellmath.as_type(F.col("value"), "smallint"))
+    counted = signatures(typed, layers).groupBy(*key).agg(F.count(F.lit(1)).alias("cells"))
+    scored = score_signatures(counted, layers, scenarios, keep=("cells",))
+    return histogram_exact(scored, ("scenario_id",), weight=F.col("cells"))
+
+
 def scenario_breaks(
     cells: DataFrame, layers: Sequence[str], scenarios: DataFrame, num_breaks: int | DataFrame, zoom: int
 ) -> DataFrame:
@@ -148,11 +157,7 @@ def scenario_breaks(
 
     Everything after the count per signature is as small as the number of signatures.
     """
-    key = _key(layers)
-    typed = cells.filter(F.col("zoom") == zoom).withColumn("value", cellmath.as_type(F.col("value"), "smallint"))
-    counted = signatures(typed, layers).groupBy(*key).agg(F.count(F.lit(1)).alias("cells"))
-    scored = score_signatures(counted, layers, scenarios, keep=("cells",))
-    hist = histogram_exact(scored, ("scenario_id",), weight=F.col("cells"))
+    hist = scenario_histogram(cells, layers, scenarios, zoom)
     if isinstance(num_breaks, DataFrame):
         hist = fan_join(hist, num_breaks.select("scenario_id", "num_breaks"), ["scenario_id"])
         return quantile_breaks(hist, "num_breaks", ("scenario_id",))

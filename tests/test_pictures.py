@@ -173,3 +173,27 @@ def test_bucketed_tables_stay_where_they_are(spark, cells, tmp_path):
     held = store.open_buckets(spark, "picture_buckets", str(tmp_path / "buckets"), 4)
     keys = spark.createDataFrame([("a", 6, 0, 0)], "layer STRING, zoom INT, tc INT, tr INT")
     assert store.read_tile(held, keys).count() == cells.filter("layer = 'a' AND zoom = 6 AND tc = 0 AND tr = 0").count()
+
+
+def test_requests_of_the_same_weights_are_scored_once(spark, make_cells, monkeypatch):
+    """Requests that differ in order, blanks or number of breaks alone share a histogram; each has its own breaks."""
+    from overgrid.plans import sums
+
+    cells = make_cells({"a": [[1, 2, 3, 4]], "b": [[0, 0, 5, None]]}, Grid(tile=4, zoom=2))
+    texts = [("a,b", "1,2", 2), ("b,a", "2,1", 3), ("a,b,none,", "1,2,7", 2), ("a", "3", 1), ("a,a", "1,2", 1), ("b", "x", 1), ("a", "0", 1)]
+    rows = [(100 * i + j, *t) for j, t in enumerate(texts) for i in range(20)]
+    asked = spark.createDataFrame([*rows, (None, "a", "1", 1)], "req_id long, layers string, weights string, num_breaks int")
+    scored = []
+    spied = sums.scenario_histogram
+
+    def spy(cells, layers, scenarios, zoom):
+        scored.append(scenarios.select("scenario_id").distinct().count())
+        return spied(cells, layers, scenarios, zoom)
+
+    monkeypatch.setattr(sums, "scenario_histogram", spy)
+    got = {}
+    for r in sums.request_breaks(cells, asked, ["a", "b"], 2).collect():
+        got.setdefault(r.req_id, []).append((r.k, r.brk))
+    want = {0: [(1, 2), (2, 13)], 1: [(1, 1), (2, 2), (3, 13)], 2: [(1, 2), (2, 13)], 3: [(1, 12)], 4: [(1, 12)]}
+    assert {k: sorted(v) for k, v in got.items()} == {100 * i + j: want[j] for j in want for i in range(20)}
+    assert scored == [3]
