@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from overgrid.functions import cellmath
 from overgrid.model import CELL_KEYS, WORLD_HALF, Grid
 from overgrid.operators import color
+from overgrid.operators.grid import with_tile_key
 from overgrid.operators.requests import weighed_layers
 from overgrid.operators.tiles import pack_tiles
 from overgrid.operators.vector import map_rings, parse_geojson, reproject_polygon
@@ -32,13 +33,8 @@ def request_tiles(cells: DataFrame, requests: DataFrame, grid: Grid, ramps: Data
     once for all who ask it, and the cells meet the requests only to be colored.  The jobs tell the scan their layers,
     zooms and tiles.  After that join a job's cells are moved once: it is a tile, so it is of bounded size.
     """
-    wished = _wished(requests, grid)
-    drawn = wished.filter("is_valid")
-    by_job = ["zoom", "tc", "tr", "recipe"]
-    jobs = in_world(drawn).groupBy(*by_job).agg(F.min("req_id").alias("job"))
-    shown = _job_cells(cells, jobs, mask_layer)
-    asked = drawn.join(jobs, by_job).join(_legends(requests, ramps), list(STYLE), "left")
-    out = shown.join(asked.select(*WISH, "job", "crossings", "legend"), "job")
+    shown, asked = _asked_jobs(cells, _wished(requests, grid), requests, ramps, mask_layer)
+    out = shown.join(asked, "job")
     crossed = F.get("crossings", F.col("gy") - F.col("tr") * grid.tile)
     inside = F.col("crossings").isNull() | (F.size(F.filter(crossed, lambda x: F.col("gx") + 0.5 < x)) % 2 == 1)
     out = out.select(*WISH, "gx", "gy", F.when(inside, F.col("value")).alias("value"), "legend")
@@ -51,18 +47,42 @@ def request_images(cells: DataFrame, requests: DataFrame, grid: Grid, ramps: Dat
 
     ``pixels`` are the tile's RGBA numbers in row order, transparent where nothing is shown.  They are NULL, and the
     status says why, where the mask or all layers lack the tile or the polygon's text is none.
+
+    A job's tile is packed once; a request clips and colors the packed values inside its own row, so no cell is moved
+    or sorted for a request.  Requests of one ``req_id`` and tile are drawn over each other, the greatest number counts.
     """
-    packed = pack_tiles(request_tiles(cells, requests, grid, ramps, mask_layer), grid, WISH, "rgba")
-    pixels = packed.select("req_id", F.transform("cells", lambda c: F.coalesce(c, F.lit(color.TRANSPARENT).cast("bigint"))).alias("pixels"))
-    told = _wished(requests, grid).select(*WISH, "is_valid").join(pixels, "req_id", "left")
+    wished = _wished(requests, grid)
+    shown, asked = _asked_jobs(cells, wished, requests, ramps, mask_layer)
+    packed = pack_tiles(with_tile_key(shown, grid), grid, ["job", "tc", "tr"]).select("job", "cells")
+    t = grid.tile
+    inside = f"crossings IS NULL OR size(filter(get(crossings, i div {t}), x -> tc * {t} + i % {t} + 0.5D < x)) % 2 = 1"
+    hit = f"coalesce(get(filter(legend, e -> v <= e.brk), 0).rgba, {color.TRANSPARENT}L)"
+    inked = f"transform(cells, (v, i) -> CASE WHEN v IS NOT NULL AND ({inside}) THEN {hit} ELSE {color.TRANSPARENT}L END) AS pixels"
+    drawn = asked.join(packed, "job").selectExpr(*WISH, inked).repartition("req_id")
+    pixels = drawn.groupBy(*WISH).agg(F.collect_list("pixels").alias("_all")).selectExpr(
+        "req_id", "aggregate(slice(_all, 2, size(_all)), get(_all, 0), (a, b) -> zip_with(a, b, (x, y) -> greatest(x, y))) AS pixels"
+    )
+    told = wished.select(*WISH, "is_valid").join(pixels, "req_id", "left")
     status = F.when(~F.col("is_valid"), NO_POLYGON).when(F.col("pixels").isNull(), NO_TILE).otherwise(PICTURE)
     return told.select(*WISH, status.alias("status"), "pixels")
 
 
+def _asked_jobs(
+    cells: DataFrame, wished: DataFrame, requests: DataFrame, ramps: DataFrame | None, mask_layer: str
+) -> tuple[DataFrame, DataFrame]:
+    """The cells of every job, and the requests that ask them, each with its crossings and its legend."""
+    drawn = wished.filter("is_valid")
+    by_job = ["zoom", "tc", "tr", "recipe"]
+    jobs = in_world(drawn).groupBy(*by_job).agg(F.min("req_id").alias("job"))
+    asked = drawn.join(jobs, by_job).join(_legends(requests, ramps), list(STYLE), "left")
+    return _job_cells(cells, jobs, mask_layer), asked.select(*WISH, "job", "crossings", "legend")
+
+
 def _wished(requests: DataFrame, grid: Grid) -> DataFrame:
     """Each request with its ``recipe`` (sorted layers and weights), whether its polygon is one, and for each row of
-    the tile where the polygon's edges cross it; all of it is made inside the request's row."""
-    named = requests.select(
+    the tile where the polygon's edges cross it; all of it is made inside the request's row.  That is much work for few
+    bytes, so requests are dealt out first: their file alone would be one task."""
+    named = requests.repartition("req_id").select(
         F.coalesce("req_id", F.raise_error(F.lit("a request has no id"))).alias("req_id"), "zoom", "tc", "tr",
         weighed_layers().alias("recipe"), *[F.coalesce(c, F.lit("")).alias(c) for c in STYLE], F.nullif("geojson", F.lit("")).alias("geojson"),
     )

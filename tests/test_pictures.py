@@ -197,3 +197,16 @@ def test_requests_of_the_same_weights_are_scored_once(spark, make_cells, monkeyp
     want = {0: [(1, 2), (2, 13)], 1: [(1, 1), (2, 2), (3, 13)], 2: [(1, 2), (2, 13)], 3: [(1, 12)], 4: [(1, 12)]}
     assert {k: sorted(v) for k, v in got.items()} == {100 * i + j: want[j] for j in want for i in range(20)}
     assert scored == [3]
+
+
+def test_pictures_are_drawn_inside_the_requests_row(spark, cells, monkeypatch):
+    """No cell is moved for a request; pictures equal its cells, also of requests that come twice."""
+    _, rows = asked(spark)
+    requests = spark.createDataFrame(rows + rows[:3], REQUESTS)
+    want = {}
+    for r in pictures.request_tiles(cells, spark.createDataFrame(rows, REQUESTS), G).collect():
+        want.setdefault(r.req_id, [0] * 16)[r.gy % 4 * 4 + r.gx % 4] = r.rgba
+    monkeypatch.setattr(pictures, "request_tiles", None)
+    got = pictures.request_images(cells, requests, G).collect()
+    assert len(got) == len(rows) + 3 and {r.req_id for r in got if r.pixels} == set(want)
+    assert all(r.pixels == want.get(r.req_id) for r in got)
