@@ -1,7 +1,7 @@
 """Z-order curve over two non-negative integers, as plain bit arithmetic on BIGINT columns.
 
-The expressions are sums over bits, so their size grows with ``bits`` only; they are given as SQL text over
-column names, which keeps the plan readable and quick to build.
+The expressions look up a byte at a time in constant tables, so the code that Spark generates stays small enough for
+the JVM to compile; a term for every bit does not.  They are given as SQL text over column names.
 """
 
 from __future__ import annotations
@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 MAX_BITS = 31
 
 
+# What a byte's bits are on every second place, and what the bits on every second place of a byte are side by side.
+_SPREAD = f"array({', '.join(f'{sum((n >> i & 1) << 2 * i for i in range(8))}L' for n in range(256))})"
+_GATHER = f"array({', '.join(f'{sum((n >> 2 * i & 1) << i for i in range(4))}L' for n in range(256))})"
+
+
 def _spread(name: str, bits: int) -> str:
     wide = f"CAST({name} AS BIGINT)"
-    return " | ".join(f"shiftleft({wide} & {1 << i}, {i})" for i in range(bits))
+    return " | ".join(
+        f"shiftleft(get({_SPREAD}, CAST(shiftright({wide}, {i}) & {(1 << min(8, bits - i)) - 1} AS INT)), {2 * i})" for i in range(0, bits, 8)
+    )
 
 
 def _gather(name: str, bits: int, skip: int) -> str:
-    return " | ".join(f"(shiftright({name}, {i + skip}) & {1 << i})" for i in range(bits))
+    return " | ".join(
+        f"shiftleft(get({_GATHER}, CAST(shiftright({name}, {2 * i + skip}) & {(1 << 2 * min(4, bits - i)) - 1} AS INT)), {i})" for i in range(0, bits, 4)
+    )
 
 
 def z_encode(x: str, y: str, bits: int = MAX_BITS) -> Column:

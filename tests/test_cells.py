@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from overgrid.functions import zcurve
 from overgrid.model import CELLS, WORLD_HALF, Grid
 from overgrid.operators import color, grid as grid_ops, local, requests, stats, tiles
 from overgrid.plans import overlay, scenarios
@@ -341,3 +342,18 @@ def test_unpacked_tiles_are_packed_once(spark):
     assert len(got) == 3 * 4096
     assert {k: v for k, v in got.items() if v is not None and k[0] != "c"} == {("a", 64, 0): 7, ("b", 63, 63): 2}
     assert all(got["c", x, y] == x * y for x in range(64) for y in range(64))
+
+
+def test_curve_keys_are_looked_up_by_bytes(spark):
+    rows = [(0, 0), (5, 3), (255, 256), (2**31 - 1, 2**31 - 1), (-1, 7), (None, 1)]
+    df = spark.createDataFrame(rows, "x INT, y INT")
+    keyed = df.withColumn("z", zcurve.z_encode("x", "y"))
+    back = keyed.withColumns({"bx": zcurve.z_decode_x("z"), "by": zcurve.z_decode_y("z")})
+    for r in back.collect():
+        if r.x is None:
+            assert r.z is None
+        else:
+            x, y = r.x & (2**31 - 1), r.y & (2**31 - 1)
+            assert (r.z, r.bx, r.by) == (zcurve.z_number(x, y), x, y)
+    # One term for each byte: with one for each bit the generated method was too long for the JVM to compile.
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("shiftright") == 8
