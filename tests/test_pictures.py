@@ -210,3 +210,16 @@ def test_pictures_are_drawn_inside_the_requests_row(spark, cells, monkeypatch):
     got = pictures.request_images(cells, requests, G).collect()
     assert len(got) == len(rows) + 3 and {r.req_id for r in got if r.pixels} == set(want)
     assert all(r.pixels == want.get(r.req_id) for r in got)
+
+
+def test_polygons_are_parsed_after_requests_are_dealt_out(spark, cells):
+    requests = spark.createDataFrame([(1, 6, 0, 0, "a", "1", "2", "", "not json"), (2, 6, 0, 0, "a", "1", "2", "", "")], REQUESTS)
+    plan = pictures.request_tiles(cells, requests, G)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        if "RepartitionByExpression [req_id" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = [x for x in lines[at + 1 :]]
+            end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+            assert not any("from_json" in x for x in below[:end])
+    assert "RepartitionByExpression [req_id" in plan and "from_json" in plan
