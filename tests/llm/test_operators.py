@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from overgrid.llm import bpe, decontaminate, fingerprints, linking, lines, near, pages, paragraphs, pii, quality, queries, warc
+from overgrid.llm import boosting, bpe, decontaminate, fingerprints, linking, lines, near, pages, paragraphs, pii, quality, queries, warc
 from overgrid.llm.common import shared_folder
 from tests.llm import brute
 from tools.check import canon, connect
@@ -315,6 +315,18 @@ def test_pii_judge_adds_what_it_was_taught():
     assert pii.fit([]) is None
 
 
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    texts = [f"call +49 151 {k:07d} or 1.2.3.{k % 256}" for k in range(9000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    rows = pii.taught(docs)
+    assert rows.agg({"n": "sum"}).first()[0] == sum(len(pii.lessons(t)) for t in texts)
+    monkeypatch.setattr(boosting, "ROUNDS", 4)
+    told = [(list(r.x), r.good, r.n) for r in rows.collect()]
+    x, y = (np.repeat(np.array(c), [n for _, _, n in told], axis=0) for c in ([x for x, _, _ in told], [float(g) for _, g, _ in told]))
+    one, many = boosting.fit(x, y), boosting.fit_table(rows.repartition(3))
+    assert np.allclose(one.probability(x), many.probability(x), atol=1e-4)
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     assert pii.find_pii(none, pii.train(none)).count() == 0
     assert {r.pii.spans for r in pii.find_pii(odd, pii.train(odd)).collect()} == {""}
