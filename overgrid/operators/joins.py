@@ -1,4 +1,4 @@
-"""A join helper for a large side that has very few distinct keys."""
+"""Helpers for joins with few distinct keys and for shuffles whose rows grow once read."""
 
 from __future__ import annotations
 
@@ -14,3 +14,12 @@ def fan_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inn
     more the larger the cluster.
     """
     return facts.join(lookup, on, how)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into all of the session's ``spark.sql.shuffle.partitions``.
+
+    Adaptive execution merges parts by their size as shuffled.  Where a part's rows are then exploded, sorted or
+    collected, a task holds twenty to sixty times that size, so such parts are not to be merged.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from overgrid.functions import projection
 from overgrid.model import WORLD_HALF, Grid
 from overgrid.operators.grid import within
+from overgrid.operators.joins import spread
 
 GEOJSON = (
     "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>,"
@@ -144,12 +145,13 @@ def polygon_sweep(edges: DataFrame, grid: Grid) -> DataFrame:
         either(f"CAST(greatest(floor((least(xa, xb) - {SLACK!r}D) / {t}), 0) AS INT)", "0") + " AS first_col",
         either(f"CAST(least(floor((greatest(xa, xb) + {SLACK!r}D) / {t}), {last}) AS INT)", "0") + " AS last_col",
     )
-    met = (
+    met = spread(
         reach.filter("first_col <= last_col")
         .selectExpr(*edge, "by_tile", "row", "x", "explode(sequence(first_col, last_col)) AS col")
         .filter(f"NOT by_tile OR ({_edge_meets_box(t, 'col', 'row')})")
-        .selectExpr("zone_id", "by_tile", f"CAST({either('row', f'floor(row / {t}e0)')} AS INT) AS tr", either("NULL", "row") + " AS gy", either("col", "NULL") + " AS tc", "x")
-        .repartition("zone_id", "tr")
+        .selectExpr("zone_id", "by_tile", f"CAST({either('row', f'floor(row / {t}e0)')} AS INT) AS tr", either("NULL", "row") + " AS gy", either("col", "NULL") + " AS tc", "x"),
+        "zone_id",
+        "tr",
     )
     # A tile that several edges meet is crossed once.
     before = "lag(tc) OVER (PARTITION BY zone_id, tr ORDER BY by_tile DESC, tc)"
@@ -236,16 +238,28 @@ def swept_parts(sweep: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def swept_rows(sweep: DataFrame, grid: Grid) -> DataFrame:
+    """Every cell row of the tiles that a polygon meets, cut where the outline crosses it: ``(zone_id, tc, tr, gy, a, b, inside)``."""
+    t = grid.tile
+    whole = (
+        f"transform(sequence(CAST(floor(a / {t}e0) AS INT), CAST(floor(b / {t}e0) AS INT)),"
+        f" c -> named_struct('tc', c, 'top', tr * {t}, 'bottom', tr * {t} + {t - 1}, 'a', c * {t}, 'b', c * {t} + {t - 1}, 'inside', true))"
+    )
+    outline = "array(named_struct('tc', tc, 'top', gy, 'bottom', gy, 'a', a, 'b', b, 'inside', inside))"
+    told = sweep.filter(f"a <= b AND (in_tile OR gy = tr * {t} AND inside)")
+    cut = told.selectExpr("zone_id", "tr", f"explode(CASE WHEN in_tile THEN {outline} ELSE {whole} END) AS p")
+    return cut.selectExpr("zone_id", "p.tc", "tr", "explode(sequence(p.top, p.bottom)) AS gy", "p.a", "p.b", "p.inside")
+
+
 def mask_by_polygon(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Per zone, the cells of the tiles it meets, NODATA where a cell lies outside the polygon.
 
-    ``bounds`` around the zones reach the scan.  A tile under very many zones is a hot key of two plain joins, which
-    Spark splits.
+    Cells meet the cut rows of the zones' tiles in one join and are not moved again once they are repeated for each
+    zone.  It is asked to merge: Spark's size check counts the edges, not the rows that come out of them, and would
+    broadcast those at any size.  A tile under very many zones is a hot key of a plain join, which Spark splits.
+    ``bounds`` around the zones reach the scan.
     """
-    sweep = polygon_sweep(edges, grid)
-    held = within(cells, bounds).join(swept_cover(sweep, grid), ["tc", "tr"]).alias("h")
-    spans = swept_spans(sweep).drop("tr").alias("s")
-    at = "h.zone_id = s.zone_id AND h.tc = s.tc AND h.gy = s.gy AND h.gx BETWEEN s.a AND s.b"
-    rest = [f"h.{c}" for c in cells.columns if c != "value"]
-    value = "CASE WHEN h.whole OR s.a IS NOT NULL THEN h.value END AS value"
-    return held.join(spans, F.expr(at), "left").selectExpr("h.zone_id", *rest, value)
+    rows = swept_rows(polygon_sweep(edges, grid), grid)
+    met = within(cells, bounds).join(rows.hint("merge"), ["tc", "tr", "gy"]).filter("gx BETWEEN a AND b")
+    rest = [c for c in cells.columns if c != "value"]
+    return met.selectExpr("zone_id", *rest, "CASE WHEN inside THEN value END AS value")

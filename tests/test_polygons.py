@@ -194,6 +194,13 @@ def test_many_zones_over_one_tile(spark, make_cells):
     assert {k: v for k, v in got.items() if k in want} == want and all(v is None for k, v in got.items() if k not in want)
 
 
+def test_masked_cells_are_not_moved_again(spark, make_cells):
+    """One join by place; no shuffle by zone of cells that are already repeated for each zone."""
+    zones = polygon_edges(spark.createDataFrame([(k, [[(1.0, 1.0), (60.0, 5.0), (30.0, 60.0)]]) for k in range(20)], RINGS))
+    plan = vector.mask_by_polygon(make_cells(random_layers(2), G), zones, G)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1 and "SortMergeJoin [tc" in plan
+
+
 def test_zones_need_an_id(spark):
     from pyspark.errors import PySparkException
 
