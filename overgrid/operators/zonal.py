@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from overgrid.functions import cellmath
 from overgrid.model import Grid, place_keys
 from overgrid.operators.grid import within, z_order_key
+from overgrid.operators.joins import spread
 from overgrid.operators.vector import WHOLE_TILE, polygon_cover, polygon_spans, polygon_sweep, swept_parts
 
 
@@ -39,8 +40,9 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[in
     running sums and counts, and a run of covered cells is two look-ups there, at its last cell and before its first.
     So the work is runs times layers plus the cells of the met tiles once, whatever the runs' lengths.  Runs and tiles
     come out of one sweep and meet their rows in one join, keyed by place, not by zone: one huge zone is spread like
-    many small ones, and a row under very many zones is a hot key that Spark splits.  ``bounds`` around the zones
-    (``zone_bounds``) keep the rest of the store from being read.
+    many small ones, and a row under very many zones is a hot key that Spark splits.  The join is asked to merge:
+    Spark's size check counts the edges, not the runs that come out of them, and would broadcast those at any size.
+    ``bounds`` around the zones (``zone_bounds``) keep the rest of the store from being read.
     """
     parts = keyed(swept_parts(polygon_sweep(edges, grid), grid), cells)
     place = place_keys(cells, "tc", "tr")
@@ -49,7 +51,7 @@ def zonal_parts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[in
     tiles = at_zoom.groupBy("layer", *place).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
     tiles = tiles.select("layer", *place, F.lit(WHOLE_TILE).alias("gy"), "s", "n", F.lit(None).cast(PREFIX).alias("upto"))
     held = prefix_rows(at_zoom).unionByName(tiles)
-    return combine_parts(run_sums(parts.join(held, [*place, "gy"]), grid))
+    return combine_parts(run_sums(parts.hint("merge").join(held, [*place, "gy"]), grid))
 
 
 def keyed(places: DataFrame, cells: DataFrame) -> DataFrame:
@@ -64,6 +66,9 @@ def prefix_rows(cells: DataFrame) -> DataFrame:
     """``(layer, place, gy, s, n, upto)``: for each row of cells in a tile the sum and number of its data cells, and both
     up to every cell that it has, from left to right.  An array is as long as a tile is wide at most."""
     row = ["layer", *place_keys(cells, "tc", "tr"), "gy"]
+    cells = cells.select(*row, "gx", "value")
+    if "z" not in row:  # a bucketed store has the rows together already
+        cells = spread(cells, *row)
     line = Window.partitionBy(*row).orderBy("gx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = cells.select(*row, "gx", F.sum("value").over(line).alias("s"), F.count("value").over(line).alias("n"))
     upto = F.sort_array(F.collect_list(F.struct("gx", F.coalesce("s", F.lit(0).cast("bigint")).alias("s"), "n"))).cast(PREFIX)
@@ -110,7 +115,7 @@ def tile_counts(cells: DataFrame, edges: DataFrame, grid: Grid, bounds: tuple[in
     cover = polygon_cover(edges, grid)
     held = covered(within(cells.filter(F.col("zoom") == grid.zoom), bounds), cover)
     keys = held.select(*place_keys(held, "layer", "tc", "tr")).distinct().select("layer", "tc", "tr")
-    return cover.join(keys, ["tc", "tr"]).groupBy("zone_id", "layer").agg(F.count(F.lit(1)).alias("tiles"))
+    return cover.hint("merge").join(keys, ["tc", "tr"]).groupBy("zone_id", "layer").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 def zone_area(edges: DataFrame, grid: Grid) -> DataFrame:

@@ -194,6 +194,17 @@ def test_many_zones_over_one_tile(spark, make_cells):
     assert {k: v for k, v in got.items() if k in want} == want and all(v is None for k, v in got.items() if k not in want)
 
 
+def test_runs_are_not_broadcast(spark, make_cells, tmp_path):
+    """The size check sees a few edges, not the tiles and runs that come out of them."""
+    path = str(tmp_path / "zones")
+    spark.createDataFrame([(k, [[(1.0, 1.0), (60.0, 5.0), (30.0, 60.0)]]) for k in range(20)], RINGS).write.parquet(path)
+    edges, cells = polygon_edges(spark.read.parquet(path)), make_cells(random_layers(2), G)
+    for built in (zonal.zonal_parts(cells, edges, G), zonal.tile_counts(cells, edges, G), vector.mask_by_polygon(cells, edges, G)):
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line]
+        assert joins and not [line for line in joins if "Broadcast" in line and "LeftSemi" not in line], joins
+
+
 def test_masked_cells_are_not_moved_again(spark, make_cells):
     """One join by place; no shuffle by zone of cells that are already repeated for each zone."""
     zones = polygon_edges(spark.createDataFrame([(k, [[(1.0, 1.0), (60.0, 5.0), (30.0, 60.0)]]) for k in range(20)], RINGS))
@@ -201,6 +212,13 @@ def test_masked_cells_are_not_moved_again(spark, make_cells):
     assert plan.count("Join ") == 1 and "SortMergeJoin [tc" in plan
 
 
+def test_parts_that_grow_are_not_merged(spark, make_cells, edges):
+    """Adaptive execution would merge these few bytes into one part."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for built in (zonal.prefix_rows(make_cells(random_layers(2), G)), vector.polygon_sweep(edges, G)):
+        assert built.rdd.getNumPartitions() == int(parts)
+
+
 def test_zones_need_an_id(spark):
     from pyspark.errors import PySparkException
 
