@@ -357,3 +357,19 @@ def test_curve_keys_are_looked_up_by_bytes(spark):
             assert (r.z, r.bx, r.by) == (zcurve.z_number(x, y), x, y)
     # One term for each byte: with one for each bit the generated method was too long for the JVM to compile.
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("shiftright") == 8
+
+
+def test_tiles_are_together_before_they_are_multiplied(spark, tmp_path):
+    """A task sums its own tiles: no shuffle by scenario of sums that every task has of every tile."""
+    from __spark_entry__ import queries
+
+    rows = [(k, k % 3, float(k % 50), "AN"[k % 2], "FO"[k % 2]) for k in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey").write.parquet(str(tmp_path / "nation.parquet"))
+    sums = queries()["multiply_scalar_table"](spark, str(tmp_path))
+    by_key = {(r.scenario_id, r.layer, r.tc, r.tr): (r.total, r.n) for r in sums.collect()}
+    weights = [-5 + (s * 3 + pos * 5) % 11 for s in range(25) for pos in (0, 3)]  # AF, NO
+    assert sum(n for _, n in by_key.values()) == 400 * 25
+    values = [sum(1 for k in range(400) if k % 2 == odd and 10 <= k % 50 < 46) for odd in (0, 1)]
+    assert sum(t or 0 for t, _ in by_key.values()) == sum(w * values[i % 2] for i, w in enumerate(weights))
+    assert "hashpartitioning(scenario_id" not in sums._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from overgrid.functions import cellmath
 from overgrid.operators import local, requests, stats
+from overgrid.operators.joins import spread
 from overgrid.plans import overlay
 from workloads import fixtures as fx
 from workloads.fixtures import sql
@@ -58,7 +59,8 @@ from cells join scenarios using (layer) group by scenario_id, layer, tc, tr""",
 def multiply_scalar_table(spark, sf):
     """Weights from a table; shown as sums per tile."""
     weights = fx.scenarios(spark, sf).select("scenario_id", "layer", "weight")
-    scaled = local.multiply_scalar(fx.cells(spark, sf), weights)
+    # A tile's cells are together before they are multiplied: a task then sums its own tiles, not all of the map's.
+    scaled = local.multiply_scalar(spread(fx.cells(spark, sf), "tc", "tr"), weights)
     return scaled.groupBy("scenario_id", "layer", "tc", "tr").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
