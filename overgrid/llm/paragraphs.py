@@ -59,8 +59,8 @@ def long_lines(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int,
 PARAGRAPH = "doc_id long, paragraph int, id binary, size long, keys array<long>"
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``PARAGRAPH``: every paragraph's set, named by its digest, with its size and band keys."""
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, keyed: bool = True) -> DataFrame:
+    """``PARAGRAPH``: every paragraph's set, named by its digest, with its size and (``keyed``) band keys."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,7 +69,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 found = [(d, i, line) for d, text in zip(few["doc_id"], few["text"], strict=True) for i, line in long_lines(text, min_words)]
                 sets = list(shingle_sets([line for _, _, line in found]))
                 held = [k for k, s in enumerate(sets) if len(s)]
-                keys = band_keys([sets[k] for k in held]).view(np.int64) if held else []
+                keys = band_keys([sets[k] for k in held]).view(np.int64) if held and keyed else [None] * len(held)
                 rows = [(found[k][0], found[k][1], digest(sets[k]), len(sets[k]), row) for k, row in zip(held, keys, strict=True)]
                 yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "id", "size", "keys"])
 
@@ -80,7 +80,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """``(doc_id, paragraph, first_doc_id, first_paragraph, kept)`` of the paragraphs of clusters over documents."""
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = stored(paragraphs(named, min_words).select("doc_id", "paragraph", "id"), "paragraphs", folder)
+    found = stored(paragraphs(named, min_words, keyed=False).select("doc_id", "paragraph", "id"), "paragraphs", folder)
     # Band keys are made anew here rather than written for every copy of a paragraph.
     items = stored(
         paragraphs(named, min_words).groupBy("id").agg(

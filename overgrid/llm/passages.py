@@ -21,15 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from overgrid.llm.common import partitions, plain, shared_folder, stored, text_of
 from overgrid.llm.words import blocks, separators, shingle, word_hashes
 
 PASSAGE, GRAM = 50, 25
 WINDOW = PASSAGE - GRAM + 1
-#: Windows whose least grams are found together.
-AT_ONCE = 1 << 16
 
 
 def word_rows(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -42,14 +39,22 @@ def word_rows(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield hashes[a:b]
 
 
+def least(grams: np.ndarray) -> np.ndarray:
+    """The places of the least gram (the first of equals) of every window, by windows that double in size."""
+    held, at, size = grams, np.arange(len(grams)), 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        first = held[:-step] <= held[step:]
+        held, at, size = np.where(first, held[:-step], held[step:]), np.where(first, at[:-step], at[step:]), size + step
+    return np.unique(at)
+
+
 def picks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(grams, places)`` picked from a text: the least gram (the first of equals) of every window."""
     if len(words) < PASSAGE:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     grams = shingle(words, GRAM)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    at = [np.unique(windows[a : a + AT_ONCE].argmin(axis=1) + np.arange(a, min(a + AT_ONCE, len(windows)))) for a in range(0, len(windows), AT_ONCE)]
-    places = np.unique(np.concatenate(at))
+    places = least(grams)
     return grams[places], places
 
 
@@ -134,11 +139,6 @@ def _joined(held: DataFrame) -> DataFrame:
     return held.repartition(n, "doc_id").sortWithinPartitions("doc_id", "text_id", "start").mapInPandas(run, SPAN)
 
 
-@F.pandas_udf(T.IntegerType())
-def _count(text: pd.Series) -> pd.Series:
-    return pd.Series([len((t or "").encode("utf-8", "surrogatepass").split()) for t in text], dtype="int32")
-
-
 def text_name(text: str | Column) -> Column:
     return F.unhex(F.md5(text_of(text)))
 
@@ -149,8 +149,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     named = named.withColumn("text_id", text_name("text"))
     owners = stored(named.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "passage-texts", folder)
-    again = named.join(owners.filter("doc_id < last").select("text_id", F.col("doc_id").alias("first_doc_id")), "text_id").filter("doc_id > first_doc_id")
-    copies = again.select("doc_id", "text_id", F.lit(0).alias("first_word"), _count("text").alias("words"), "first_doc_id", F.lit(0).alias("first_doc_word"))
+    # Words are counted before the join, so that no text is moved for it.
+    counted = named.select("doc_id", "text_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    again = counted.join(owners.filter("doc_id < last").select("text_id", F.col("doc_id").alias("first_doc_id")), "text_id").filter("doc_id > first_doc_id")
+    copies = again.select("doc_id", "text_id", F.lit(0).alias("first_word"), "words", "first_doc_id", F.lit(0).alias("first_doc_word"))
     copies = copies.filter(F.col("words") >= PASSAGE).distinct()
 
     # Rows that repeat an id and text give equal rows, which count once.

@@ -76,3 +76,23 @@ def test_passages_of_odd_rows(spark):
     assert covered(got)[4] == set(range(60_000)) and 3 not in covered(got)
     assert paragraphs.substring_dedup(docs).count() == len(rows)
     assert passages.passages(docs.limit(0)).count() == 0
+
+
+def test_least_of_every_window():
+    import numpy as np
+
+    from overgrid.llm import passages
+
+    rng = np.random.default_rng(4)
+    for size in (passages.WINDOW, passages.WINDOW + 1, 400):
+        grams = rng.integers(0, 30, size).astype(np.uint64)  # many equals
+        want = {int(grams[a : a + passages.WINDOW].argmin()) + a for a in range(size - passages.WINDOW + 1)}
+        assert passages.least(grams).tolist() == sorted(want)
+
+
+def test_names_alone_need_no_band_keys(spark):
+    from overgrid.llm import paragraphs
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, None), (3, "short")], "doc_id long, text string")
+    (named,), (keyed,) = (paragraphs.paragraphs(docs, keyed=k).collect() for k in (False, True))
+    assert named["keys"] is None and len(keyed["keys"]) and named["id"] == keyed["id"] and named["size"] == keyed["size"] == 26
