@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from overgrid.operators.joins import fan_join
 #: A coarse group with more items or more shingles than this is linked by joins, not inside one task.
 GROUP_ITEMS = 20_000
 GROUP_SHINGLES = 4_000_000
+#: Characters of text from which on a task links the groups that it holds.
+LINKED_AT_ONCE = 200_000
 SALTS = 32
 #: Rounds of contraction, whose number grows with the logarithm of the edges; more are an error.
 ROUNDS = 100
@@ -111,6 +114,10 @@ def link_group(sets: list[np.ndarray], percent: int, likeness: Callable[[int, np
     count, root = len(sets), np.arange(len(sets))
     if count < 2:
         return root
+    if count == 2:
+        both = np.sort(np.concatenate(sets))
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        return np.zeros_like(root) if 100 * shared >= percent * (len(both) - shared) else root
     owner = np.repeat(np.arange(count), [len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     frequency = np.bincount(ids)
@@ -185,25 +192,29 @@ def link(
 
 def _link_small(held: DataFrame, sets_of, percent: int, likeness) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by group; one group of bounded size is held at a time."""
-        at, rows = None, []
+        """Rows come sorted by group; one group of bounded size is held at a time, or more that are small."""
+        rows, size = [], 0
         for part in parts:
-            for root, name, text, sketch in part[["root", "id", "text", "sketch"]].itertuples(index=False):
-                if root != at and rows:
+            for row in part[["root", "id", "text", "sketch"]].itertuples(index=False, name=None):
+                if size >= LINKED_AT_ONCE and row[0] != rows[-1][0]:
                     yield link_rows(rows)
-                    rows = []
-                at = root
-                rows.append((bytes(name), text, sketch))
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[2] or "")
         if rows:
             yield link_rows(rows)
 
     def link_rows(rows: list) -> pd.DataFrame:
-        names, texts, sketches = zip(*rows, strict=True)
-        sets = list(sets_of(list(texts)))
-        own = [i for i, s in enumerate(sets) if digest(s) == names[i]]
-        names, sketches, sets = ([x[i] for i in own] for x in (names, sketches, sets))
-        roots = link_group(sets, percent, likeness(sketches) if likeness and sketches else None)
-        found = [(names[i], min(names[j] for j in np.flatnonzero(roots == r))) for r in _shared(roots) for i in np.flatnonzero(roots == r)]
+        sets = sets_of([text for _, _, text, _ in rows])
+        own = [(root, bytes(name), sketch, s) for (root, name, _, sketch), s in zip(rows, sets, strict=True) if digest(s) == bytes(name)]
+        found = []
+        for _, group in groupby(own, key=lambda row: row[0]):
+            _, names, sketches, sets = zip(*group, strict=True)
+            roots = link_group(list(sets), percent, likeness(list(sketches)) if likeness else None)
+            for r in _shared(roots):
+                members = [names[i] for i in np.flatnonzero(roots == r)]
+                least = min(members)
+                found.extend((name, least) for name in members)
         return pd.DataFrame(found, columns=["id", "root"])
 
     n = partitions(held.sparkSession)

@@ -69,9 +69,11 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, keyed: bool = True)
                 found = [(d, i, line) for d, text in zip(few["doc_id"], few["text"], strict=True) for i, line in long_lines(text, min_words)]
                 sets = list(shingle_sets([line for _, _, line in found]))
                 held = [k for k, s in enumerate(sets) if len(s)]
-                keys = band_keys([sets[k] for k in held]).view(np.int64) if held and keyed else [None] * len(held)
-                rows = [(found[k][0], found[k][1], digest(sets[k]), len(sets[k]), row) for k, row in zip(held, keys, strict=True)]
-                yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "id", "size", "keys"])
+                if not held:
+                    continue
+                keys = band_keys([sets[k] for k in held]).view(np.int64) if keyed else [None] * len(held)
+                rows = {"doc_id": [found[k][0] for k in held], "paragraph": [found[k][1] for k in held], "id": [digest(sets[k]) for k in held]}
+                yield pd.DataFrame(rows | {"size": [len(sets[k]) for k in held], "keys": list(keys)})
 
     return docs.mapInPandas(run, PARAGRAPH)
 
@@ -80,10 +82,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """``(doc_id, paragraph, first_doc_id, first_paragraph, kept)`` of the paragraphs of clusters over documents."""
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = stored(paragraphs(named, min_words, keyed=False).select("doc_id", "paragraph", "id"), "paragraphs", folder)
-    # Band keys are made anew here rather than written for every copy of a paragraph.
+    found = stored(paragraphs(named, min_words), "paragraphs", folder)
     items = stored(
-        paragraphs(named, min_words).groupBy("id").agg(
+        found.groupBy("id").agg(
             F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"),
             F.any_value("size").alias("size"), F.any_value("keys").alias("keys"),
         ),

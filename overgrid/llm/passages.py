@@ -23,67 +23,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overgrid.llm.common import partitions, plain, shared_folder, stored, text_of
-from overgrid.llm.words import blocks, separators, shingle, word_hashes
+from overgrid.llm.words import blocks, runs, separators, word_hashes
 
 PASSAGE, GRAM = 50, 25
 WINDOW = PASSAGE - GRAM + 1
 
 
-def word_rows(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Per text, the hashes of its words."""
-    separator = separators()
-    for _, _, raw, offsets in blocks(texts):
-        starts, _, hashes = word_hashes(raw, separator)
-        bounds = np.searchsorted(starts, offsets)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield hashes[a:b]
-
-
 def least(grams: np.ndarray) -> np.ndarray:
     """The places of the least gram (the first of equals) of every window, by windows that double in size."""
-    held, at, size = grams, np.arange(len(grams)), 1
+    return np.unique(least_of_windows(grams))
+
+
+def least_of_windows(grams: np.ndarray) -> np.ndarray:
+    """The place of the least gram (the first of equals) of the window that begins at each place."""
+    held, at, size = grams, np.arange(len(grams), dtype=np.int32), 1
     while size < WINDOW:
         step = min(size, WINDOW - size)
         first = held[:-step] <= held[step:]
         held, at, size = np.where(first, held[:-step], held[step:]), np.where(first, at[:-step], at[step:]), size + step
-    return np.unique(at)
+    return at
+
+
+def beginnings(bounds: np.ndarray) -> np.ndarray:
+    """Whether ``PASSAGE`` words of one text begin at each place of a run of texts whose words begin at ``bounds``."""
+    edge = np.zeros(int(bounds[-1]) + 1, dtype=np.int64)
+    long = np.diff(bounds) >= PASSAGE
+    edge[bounds[:-1][long]] += 1
+    edge[bounds[1:][long] - PASSAGE + 1] -= 1
+    return np.cumsum(edge)[:-1] > 0
 
 
-def picks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(grams, places)`` picked from a text: the least gram (the first of equals) of every window."""
+def picks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(grams, places)`` picked from a run of texts: the least gram (the first of equals) of every window of a text."""
     if len(words) < PASSAGE:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    grams = shingle(words, GRAM)
-    places = least(grams)
+    grams, picked = runs(words, GRAM), np.zeros(len(words), dtype=bool)
+    picked[least_of_windows(grams)[beginnings(bounds)[: len(words) - PASSAGE + 1]]] = True
+    places = np.flatnonzero(picked)
     return grams[places], places
 
 
-def runs_around(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(runs, starts)``: all runs of ``PASSAGE`` words that hold the gram at one of the places."""
+def runs_around(words: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(runs, starts)``: all runs of ``PASSAGE`` words inside a text that hold the gram at one of the places."""
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edge, np.maximum(0, places - WINDOW + 1), 1)
     np.add.at(edge, places + 1, -1)
-    starts = np.flatnonzero(np.cumsum(edge)[: len(words) - PASSAGE + 1])
-    return shingle(words, PASSAGE)[starts], starts
+    starts = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & beginnings(bounds))
+    return runs(words, PASSAGE)[starts], starts
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, last, words, bounds)``: hashes of the words of runs of texts, and where each text's words begin."""
+    separator = separators()
+    for first, last, raw, offsets in blocks(texts):
+        starts, _, hashes = word_hashes(raw, separator)
+        yield first, last, hashes, np.searchsorted(starts, offsets)
+
+
+def _rows(some: pd.DataFrame, bounds: np.ndarray, places: np.ndarray, hashes: np.ndarray, **names: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """A row for each place, and the number of its text."""
+    owner = np.searchsorted(bounds, places, side="right") - 1
+    rows = {names["hash"]: hashes.view(np.int64), "doc_id": some["doc_id"].to_numpy()[owner], "text_id": some["text_id"].to_numpy()[owner]}
+    return pd.DataFrame(rows | {names["place"]: (places - bounds[owner]).astype(np.int32)}), owner
 
 
 def _picked(texts: DataFrame) -> DataFrame:
-    """``(gram, doc_id, text_id, place)`` of every pick."""
+    """``(gram, doc_id, text_id, place, words)`` of every pick; the first of a text tells its number of words, the others 0."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), 256):
                 few = part.iloc[at : at + 256]
-                found = [picks(words) for words in word_rows(few["text"].tolist())]
-                sizes = [len(places) for _, places in found]
-                yield pd.DataFrame({
-                    "gram": np.concatenate([g for g, _ in found]).view(np.int64),
-                    "doc_id": few["doc_id"].repeat(sizes).to_numpy(),
-                    "text_id": few["text_id"].repeat(sizes).to_numpy(),
-                    "place": np.concatenate([p for _, p in found]).astype(np.int32),
-                })
+                for first, last, words, bounds in _blocks(few["text"].tolist()):
+                    grams, places = picks(words, bounds)
+                    rows, owner = _rows(few.iloc[first:last], bounds, places, grams, hash="gram", place="place")
+                    yield rows.assign(words=np.where(np.diff(owner, prepend=-1) > 0, np.diff(bounds)[owner], 0).astype(np.int32))
 
-    return texts.mapInPandas(run, "gram long, doc_id long, text_id binary, place int")
+    return texts.mapInPandas(run, "gram long, doc_id long, text_id binary, place int, words int")
 
 
 def _runs(texts: DataFrame) -> DataFrame:
@@ -93,14 +109,11 @@ def _runs(texts: DataFrame) -> DataFrame:
         for part in parts:
             for at in range(0, len(part), 64):
                 few = part.iloc[at : at + 64]
-                found = [runs_around(words, np.asarray(places, dtype=np.int64)) for words, places in zip(word_rows(few["text"].tolist()), few["places"], strict=True)]
-                sizes = [len(starts) for _, starts in found]
-                yield pd.DataFrame({
-                    "run": np.concatenate([r for r, _ in found]).view(np.int64),
-                    "doc_id": few["doc_id"].repeat(sizes).to_numpy(),
-                    "text_id": few["text_id"].repeat(sizes).to_numpy(),
-                    "start": np.concatenate([s for _, s in found]).astype(np.int32),
-                })
+                for first, last, words, bounds in _blocks(few["text"].tolist()):
+                    some = few.iloc[first:last]
+                    places = np.concatenate([np.asarray(p, dtype=np.int64) + b for p, b in zip(some["places"], bounds.tolist())])
+                    found, starts = runs_around(words, bounds, places)
+                    yield _rows(some, bounds, starts, found, hash="run", place="start")[0]
 
     return texts.mapInPandas(run, "run long, doc_id long, text_id binary, start int")
 
@@ -148,24 +161,24 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     named = named.withColumn("text_id", text_name("text"))
-    owners = stored(named.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "passage-texts", folder)
-    # Words are counted before the join, so that no text is moved for it.
-    counted = named.select("doc_id", "text_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    # Rows that repeat an id and text give equal rows, which count once.
+    picked = stored(_picked(named), "passage-picks", folder)
+    # Every text of PASSAGE words has a first pick, which tells its words: no text is moved to know copies.
+    counted = picked.filter("words > 0").select("doc_id", "text_id", "words")
+    owners = stored(counted.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "passage-texts", folder)
     again = counted.join(owners.filter("doc_id < last").select("text_id", F.col("doc_id").alias("first_doc_id")), "text_id").filter("doc_id > first_doc_id")
-    copies = again.select("doc_id", "text_id", F.lit(0).alias("first_word"), "words", "first_doc_id", F.lit(0).alias("first_doc_word"))
-    copies = copies.filter(F.col("words") >= PASSAGE).distinct()
+    copies = again.select("doc_id", "text_id", F.lit(0).alias("first_word"), "words", "first_doc_id", F.lit(0).alias("first_doc_word")).distinct()
 
-    # Rows that repeat an id and text give equal rows, which count once.
-    picked = _picked(named.join(owners.select("text_id", "doc_id"), ["text_id", "doc_id"], "left_semi"))
-    picked = stored(picked, "passage-picks", folder)
-    shared = picked.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
-    places = picked.join(shared, "gram").groupBy("doc_id", "text_id").agg(F.collect_set("place").alias("places"))
-    places = stored(places, "passage-places", folder)
+    # Copies have each other's grams, so a gram is shared if two texts have it; only a text's first document goes on.
+    named_grams = picked.select("gram", "doc_id", "text_id", "place", F.xxhash64("text_id").alias("t"))
+    shared = named_grams.groupBy("gram").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").select("gram")
+    places = named_grams.join(shared, "gram").groupBy("doc_id", "text_id").agg(F.collect_set("place").alias("places"))
+    places = stored(places.join(owners.select("text_id", "doc_id"), ["text_id", "doc_id"], "left_semi"), "passage-places", folder)
     texts = named.join(places, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "places")
-    runs = stored(_runs(texts), "passage-runs", folder)
-    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    around = stored(_runs(texts), "passage-runs", folder)
+    first = around.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     first = stored(first.filter("first.doc_id < last").select("run", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "passage-first", folder)
-    held = runs.join(first, "run").filter("doc_id > first_doc_id").select("doc_id", "text_id", "start", "first_doc_id", "first_start").distinct()
+    held = around.join(first, "run").filter("doc_id > first_doc_id").select("doc_id", "text_id", "start", "first_doc_id", "first_start").distinct()
     return stored(_joined(held).unionByName(copies), "passage-spans", folder)
 
 

@@ -107,14 +107,41 @@ def shingle(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, read off a prefix array: long runs cost no more than short ones."""
+    n = len(hashes)
+    if n < size:
+        return hashes[:0]
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(BASE, n), out=prefix[1:])
+    return mix((prefix[size:] - prefix[:-size]) * powers(BASE_INVERSE, n + 1)[: n - size + 1])
+
+
 def shingle_sets(texts: list[str | None], k: int = 5) -> Iterator[np.ndarray]:
     """Per text, the sorted distinct hashes of its shingles."""
     separator = separators()
     for _, _, raw, offsets in blocks(texts):
         starts, _, hashes = word_hashes(raw, separator)
-        bounds = np.searchsorted(starts, offsets)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield from _sets_within(hashes, np.searchsorted(starts, offsets), k)
+
+
+def _sets_within(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The sets of the texts whose words begin at ``bounds``; shingles over the end of a text are left out."""
+    whole = shingle(hashes, k)
+    spans = [(a, b, max(a, b - k + 1)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    for a, _, end in spans:
+        whole[a:end].sort()
+    again = np.zeros(len(whole) + 1, dtype=bool)
+    again[1:-1] = whole[1:] == whole[:-1]
+    again[bounds[:-1][bounds[:-1] < len(whole)]] = False
+    before = np.concatenate(([0], np.cumsum(again))).tolist()
+    for a, b, end in spans:
+        if end == a:
             yield np.unique(shingle(hashes[a:b], k))
+        elif before[end] == before[a]:
+            yield whole[a:end]
+        else:
+            yield whole[a:end][~again[a:end]]
 
 
 def minima(sets: list[np.ndarray], count: int) -> np.ndarray:

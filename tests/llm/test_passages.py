@@ -96,3 +96,57 @@ def test_names_alone_need_no_band_keys(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, None), (3, "short")], "doc_id long, text string")
     (named,), (keyed,) = (paragraphs.paragraphs(docs, keyed=k).collect() for k in (False, True))
     assert named["keys"] is None and len(keyed["keys"]) and named["id"] == keyed["id"] and named["size"] == keyed["size"] == 26
+
+
+def test_texts_of_one_run_share_no_words():
+    """Sets, picks and runs are made over many texts at once, as if each text stood alone."""
+    import numpy as np
+
+    from overgrid.llm import words as hashing
+
+    some = random.Random(8)
+    texts = [" ".join(some.choice("abcdefgh") + str(some.randrange(5)) for _ in range(n)) for n in (0, 3, 49, 50, 51, 120, 4, 5, 49, 400, 0)]
+    texts.insert(4, None)
+    ((first, last, words, bounds),) = passages._blocks(texts)
+    assert (first, last, bounds[-1]) == (0, len(texts), len(words))
+    grams, places = passages.picks(words, bounds)
+    around, starts = passages.runs_around(words, bounds, places)
+    picked, run_at = set(), {}
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = hashing.runs(words[a:b], passages.GRAM)
+        assert len(own) == max(0, b - a - passages.GRAM + 1)
+        if b - a >= passages.PASSAGE:
+            picked |= {a + int(p) for p in passages.least(own)}
+            run_at |= {a + k: h for k, h in enumerate(hashing.runs(words[a:b], passages.PASSAGE).tolist())}
+    assert set(places.tolist()) == picked and len(grams) == len(places)
+    assert dict(zip(starts.tolist(), around.tolist(), strict=True)) == run_at  # every run holds a pick
+    for size in (1, 5):
+        sets = list(hashing.shingle_sets(texts, size))
+        for text, own in zip(texts, sets, strict=True):
+            (alone,) = hashing.shingle_sets([text], size)
+            tokens = (text or "").split()
+            assert np.array_equal(own, alone) and np.array_equal(own, np.unique(own))
+            assert len(own) == len({tuple(tokens[k : k + size]) for k in range(max(1, len(tokens) - size + 1))} - {()})
+
+
+def test_hashes_of_runs_tell_orders_apart():
+    from overgrid.llm import words as hashing
+
+    texts = ["a b " * 200, "b a " * 200, "a " * 400, "x y z w"]
+    found = {}
+    for _, _, words, bounds in passages._blocks(texts):
+        for n, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            found[n] = set(hashing.runs(words[a:b], passages.PASSAGE).tolist())
+    assert found[0] == found[1] and len(found[0]) == 2 and len(found[2]) == 1 and not found[0] & found[2] and not found[3]
+
+
+def test_small_groups_are_linked_together():
+    """Groups met in one go keep their own classes, two sets take the short way."""
+    import numpy as np
+
+    from overgrid.llm import linking
+
+    a, b, c = (np.arange(n, n + 20, dtype=np.uint64) for n in (0, 2, 15))
+    assert linking.link_group([a, b], 80).tolist() == [0, 0]  # 18 of 22
+    assert linking.link_group([a, b], 82).tolist() == [0, 1]
+    assert linking.link_group([a, b, c], 80).tolist() == [0, 0, 2]
