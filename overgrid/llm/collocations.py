@@ -7,6 +7,7 @@ Everything is per language; a null language is ``und``.
    between pieces.  The vocabulary is counted on the way.
 2. Candidates grow level by level, Apriori-safe: a run of m words is looked at only where both of its runs of m - 1
    words are frequent.  What is frequent goes out as a Bloom filter of bounded size, which may let more pass, never less.
+   Keys travel sorted and packed, with the part of the arrays that has them; one part tells what a frequent key is made of.
 3. The candidates of all lengths are dealt over tries of at most ``TRIE_PHRASES`` phrases.  Trie by trie, every task
    advances all text positions' states together, counts accepting states, and the counts of all parts are summed.
    These sums are the frequencies; the candidates' own counts only propose.
@@ -39,6 +40,8 @@ TRIE_PHRASES = 250_000
 FILTER_BITS = 1 << 28
 SLICE = 1 << 18
 PAIRS_HELD = 500_000
+#: Blocks that keys are dealt by, at least, and the keys of a block for which there are more.
+LEAST_BLOCKS, BLOCK_KEYS = 1024, 2_000_000
 #: Bytes of text that make one row of the arrays, and rows of a table that are read at once.
 CHUNK = 1 << 18
 ROWS = 1024
@@ -145,9 +148,9 @@ def known(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def bloom(keys: DataFrame, count: int, most: int = FILTER_BITS) -> np.ndarray:
-    """The Bloom filter of a table ``(key)``: 16 bits a key, ``most`` bits at most.  Slices are filled in tasks."""
-    bits = min(most, max(SLICE, 1 << int(16 * max(1, count) - 1).bit_length()))
+def bloom(keys: DataFrame, count: int, most: int = FILTER_BITS, each: int = 16) -> np.ndarray:
+    """The Bloom filter of a table ``(key)``: ``each`` bits a key, ``most`` bits at most.  Slices are filled in tasks."""
+    bits = min(most, max(SLICE, 1 << int(each * max(1, count) - 1).bit_length()))
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -187,49 +190,133 @@ def safe_pairs(codes: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray])
     return key[at], key[at + 1]
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(key, return_inverse=True)
-    return distinct, np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
+def _summed(key: np.ndarray, *columns: tuple[np.ndarray, np.ufunc]) -> list[np.ndarray]:
+    """The distinct keys, sorted, and each column's values of a key as one."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+    return [key[first], *[f.reduceat(x[order], first) if len(first) else x for x, f in columns]]
 
 
-def pair_counts(arrays: DataFrame, filters: list) -> DataFrame:
-    """``(key, n)``: how often Apriori-safe runs of ``len(filters) + 1`` words stand in parts of the corpus, by their keys."""
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each stands here."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.diff(first, append=len(key))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, held, size = [f.value for f in filters], [], 0
-        for part in parts:
-            for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
-                key = combine(*safe_pairs(*read_back(codes, hashes), tables))
-                held.append(_summed(key, np.ones(len(key))))
+
+def packed(keys: np.ndarray, start: int) -> bytes:
+    """Sorted keys from ``start`` on as differences, the lowest bytes of all first, without the bytes that are 0 in all."""
+    steps = np.diff(keys, prepend=U(start))
+    wide = (int(steps.max()).bit_length() + 7) // 8 or 1
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def unpacked(raw: bytes, count: int, start: int) -> np.ndarray:
+    """The ``count`` keys that ``packed`` made."""
+    steps = np.zeros((count, 8), dtype=np.uint8)
+    steps[:, : len(raw) // count] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, count).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + U(start)
+
+
+def marks(keys: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """Names of keys in a part of the arrays."""
+    return combine(keys, np.atleast_1d(np.asarray(part, dtype=np.int64)).astype(np.uint64))
+
+
+def blocks_of(words: int) -> int:
+    """Into how many blocks, by their first bits, the keys of so many words are cut."""
+    return max(LEAST_BLOCKS, 1 << max(0, -(-words // BLOCK_KEYS) - 1).bit_length())
+
+
+def pair_counts(arrays: DataFrame, filters: list, least: int, blocks: int) -> DataFrame:
+    """``(block, part, keys, counts)``: how often Apriori-safe runs of ``len(filters) + 1`` words stand in each part.
+
+    A block's keys are sorted and packed; counts end at ``least``, which is all that is asked of them.
+    """
+    kind, shift = "u1" if least < 1 << 8 else "<u4", 65 - blocks.bit_length()
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, held, size, at = [f.value for f in filters], [], 0, None
+        for batch in rows:
+            for codes, hashes, part in zip(batch["codes"], batch["hashes"], batch["part"], strict=True):
+                if part != at and held:
+                    yield told(at, *merged(held))
+                    held, size = [], 0
+                at = part
+                held.append(_counted(combine(*safe_pairs(*read_back(codes, hashes), tables))))
                 size += len(held[-1][0])
                 if size > PAIRS_HELD:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    held = [merged(held)]
                     size = len(held[0][0])
                     if size > PAIRS_HELD // 2:
-                        yield from rows(*held[0])
+                        yield told(at, *held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield told(at, *merged(held))
+
+    def merged(held: list) -> list[np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _summed(key, (n, np.add))
+
+    def told(part: int, key: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        block, n = (key >> U(shift)).astype(np.int64), np.minimum(n, least).astype(kind)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(key)])).tolist() if len(key) else [0]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        numbers = [int(block[a]) for a, _ in spans]
+        keys = [packed(key[a:b], number << shift) for (a, b), number in zip(spans, numbers, strict=True)]
+        return pd.DataFrame({"block": np.array(numbers, dtype=np.int32), "part": np.full(len(spans), part, dtype=np.int32), "keys": pd.Series(keys, dtype=object), "counts": pd.Series([n[a:b].tobytes() for a, b in spans], dtype=object)})
+
+    return arrays.select("codes", "hashes", "part").mapInPandas(run, "block int, part int, keys binary, counts binary")
+
+
+def frequent_keys(told: DataFrame, least: int, blocks: int) -> DataFrame:
+    """``(key, mark)`` of the keys that the parts of ``pair_counts`` have ``least`` times; the mark names the first part."""
+    kind, shift = "u1" if least < 1 << 8 else "<u4", 65 - blocks.bit_length()
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block; one block is held at a time, its keys once."""
+        at, held, size = None, [], 0
+        for batch in rows:
+            for block, part, keys, counts in zip(batch["block"], batch["part"], batch["keys"], batch["counts"], strict=True):
+                if block != at and held:
+                    yield often(*merged(held))
+                    held, size = [], 0
+                at, n = block, np.frombuffer(counts, dtype=kind).astype(np.int64)
+                held.append((unpacked(keys, len(n), int(block) << shift), n, np.full(len(n), part, dtype=np.int32)))
+                size += len(n)
+                if size > 2 * BLOCK_KEYS:
+                    held = [merged(held)]
+                    size = len(held[0][0]) // 2  # keys that stay are not merged again with each row that follows
+        if held:
+            yield often(*merged(held))
+
+    def merged(held: list) -> list[np.ndarray]:
+        key, n, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _summed(key, (n, np.add), (part, np.minimum))
 
-    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(key), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            yield pd.DataFrame({"key": key[some].view(np.int64), "n": n[some]})
+    def often(key: np.ndarray, n: np.ndarray, part: np.ndarray) -> pd.DataFrame:
+        many = n >= least
+        return pd.DataFrame({"key": key[many].view(np.int64), "mark": marks(key[many], part[many]).view(np.int64)})
 
-    return arrays.select("codes", "hashes").mapInPandas(run, "key long, n long")
+    dealt = told.repartition(partitions(told.sparkSession), "block").sortWithinPartitions("block")
+    return dealt.mapInPandas(run, "key long, mark long")
 
 
 def pairs_of(arrays: DataFrame, filters: list, wanted) -> DataFrame:
-    """``(key, a, b)``: the runs whose keys the filter ``wanted`` may hold, with the keys of what they are made of."""
+    """``(key, a, b)``: the runs whose marks the filter ``wanted`` may hold, with the keys of what they are made of.
+
+    So a key is told by one part of the arrays, not by each that has it.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = [f.value for f in filters]
         held, size = [], 0
         for part in parts:
-            for codes, hashes in zip(part["codes"], part["hashes"], strict=True):
+            for codes, hashes, number in zip(part["codes"], part["hashes"], part["part"], strict=True):
                 a, b = safe_pairs(*read_back(codes, hashes), tables)
                 key = combine(a, b)
-                at = np.flatnonzero(known(wanted.value, key))
+                at = np.flatnonzero(known(wanted.value, marks(key, number)))
                 at = at[np.unique(key[at], return_index=True)[1]]
                 held.append((key[at], a[at], b[at]))
                 size += len(at)
@@ -250,7 +337,7 @@ def pairs_of(arrays: DataFrame, filters: list, wanted) -> DataFrame:
     def rows(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"key": key.view(np.int64), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return arrays.select("codes", "hashes").mapInPandas(run, "key long, a long, b long").distinct()
+    return arrays.select("codes", "hashes", "part").mapInPandas(run, "key long, a long, b long").distinct()
 
 
 @F.pandas_udf(T.LongType())
@@ -258,9 +345,12 @@ def _combined(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(combine(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64))
 
 
-def candidates(arrays: DataFrame, words: DataFrame, folder: str, least: int, longest: int) -> list[DataFrame]:
-    """``(lang, phrase, last, key)`` of the candidates of 2, 3, .. words; ``words`` are the frequent words likewise."""
-    sc = words.sparkSession.sparkContext
+def candidates(arrays: DataFrame, words: DataFrame, total: int, folder: str, least: int, longest: int) -> list[DataFrame]:
+    """``(lang, phrase, last, key)`` of the candidates of 2, 3, .. words; ``words`` are the frequent words likewise.
+
+    ``total`` is the number of words of the corpus.
+    """
+    sc, blocks = words.sparkSession.sparkContext, blocks_of(total)
     filters, found, level = [], [], words
     try:
         for m in range(2, longest + 1):
@@ -268,10 +358,9 @@ def candidates(arrays: DataFrame, words: DataFrame, folder: str, least: int, lon
             if not count:
                 break
             filters.append(sc.broadcast(bloom(level, count)))  # FILTER_BITS / 8 bytes at most
-            # Counts travel by key alone; what the few frequent keys are made of is looked up afterwards.
-            often = pair_counts(arrays, filters).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            often = stored(often.select("key"), f"keys-{m}", folder)
-            wanted = sc.broadcast(bloom(often, often.count()))
+            # Counts travel by key alone; what the few frequent keys are made of is looked up afterwards, in one part.
+            often = stored(frequent_keys(pair_counts(arrays, filters, least, blocks), least, blocks), f"keys-{m}", folder)
+            wanted = sc.broadcast(bloom(often.select(F.col("mark").alias("key")), often.count(), each=64))
             pairs = stored(pairs_of(arrays, filters, wanted).join(often, "key", "left_semi").select("a", "b"), f"pairs-{m}", folder)
             wanted.unpersist()
             first = level.select(F.col("key").alias("a"), "lang", "phrase")
@@ -408,7 +497,8 @@ def collocations(
     totals = stored(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "totals", folder)
     frequent = vocabulary.filter(F.col("n") >= least)
     words = stored(frequent.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "key"), "frequent-words", folder)
-    levels = candidates(arrays, words, folder, least, longest)
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    levels = candidates(arrays, words, total, folder, least, longest)
     if not levels:
         return _empty(spark)
     proposed = levels[0].select("lang", "phrase")
@@ -424,7 +514,7 @@ def collocations(
 def _read(named: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, int]:
     """The arrays, the vocabulary ``(lang, word, key, n)``, and the salt with which no two words share a hash."""
     for salt in range(100):
-        arrays = stored(encoded(named, salt), f"arrays-{salt}", folder)
+        arrays = stored(encoded(named, salt).withColumn("part", F.spark_partition_id()), f"arrays-{salt}", folder)
         each = arrays.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         summed = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
         vocabulary = stored(with_keys(summed, salt), f"vocabulary-{salt}", folder)

@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from overgrid.llm import collocations, conversations, licenses, queries, trie
+from overgrid.llm.common import shared_folder
 from tools.check import canon, connect
 
 SF = "/root/testdata/sf0.01"
@@ -83,6 +85,38 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(few).count() == 0
 
 
+@pytest.mark.parametrize("least", [40, 300])
+def test_a_frequent_pair_is_told_by_one_part(spark, least):
+    """Keys that all parts of the arrays have are counted over all, but named in the first of them only."""
+    rows = [("en", "new york city. " * 45 + f"own{k} word{k}") for k in range(8)] + [("de", "new york " * 39)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartitionByRange(8, "text")
+    folder = shared_folder(spark)
+    arrays, vocabulary, _ = collocations._read(docs, folder)
+    assert arrays.select("part").distinct().count() > 1
+    words = vocabulary.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "key")
+    sc, total = spark.sparkContext, vocabulary.agg(F.sum("n")).first()[0]
+    filters, blocks = [sc.broadcast(collocations.bloom(words, words.count()))], collocations.blocks_of(total)
+    often = collocations.frequent_keys(collocations.pair_counts(arrays, filters, least, blocks), least, blocks)
+    assert often.count() == often.select("key").distinct().count() == 2  # new york, york city
+    wanted = sc.broadcast(collocations.bloom(often.select(F.col("mark").alias("key")), often.count(), each=64))
+    told = collocations.pairs_of(arrays, filters, wanted)
+    assert {r.key for r in told.join(often, "key", "left_semi").collect()} == {r.key for r in often.collect()}
+    firsts = arrays.filter("lang = 'en'").agg(F.min("part")).first()[0]
+    others = collocations.pairs_of(arrays.filter(F.col("part") != firsts), filters, wanted)
+    assert others.join(often, "key", "left_semi").count() == 0
+    named = collocations.candidates(arrays, words, total, folder, least, 5)
+    assert sorted(r.phrase for level in named for r in level.collect()) == ["new york", "new york city", "york city"]
+
+
+def test_packed_keys_come_back():
+    draw = np.random.default_rng(3)
+    for bits, start in ((54, 0), (54, 1023 << 54), (9, 5 << 54)):
+        keys = np.unique(draw.integers(0, 1 << bits, 300, dtype=np.uint64)) + np.uint64(start)
+        raw = collocations.packed(keys, start)
+        assert np.array_equal(collocations.unpacked(raw, len(keys), start), keys) and len(raw) < 8 * len(keys)
+    assert collocations.unpacked(collocations.packed(keys[:1], int(keys[0])), 1, int(keys[0])).tolist() == keys[:1].tolist()
+
+
 def test_long_pieces_are_cut_between_pieces_only():
     texts = ["w " * 700_000 + ". " + "v " * 900_000, "x"]
     assert b"".join(collocations.chunks(texts)) == "\n".join(texts).encode() + b"\n"
