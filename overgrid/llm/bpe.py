@@ -22,8 +22,8 @@ from itertools import chain
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,9 @@ LONG_WORD = 64
 ROWS_AT_ONCE = 600_000
 TOKENS_AT_ONCE = 400_000
 REMEMBERED = 40_000_000
+#: Texts that are encoded, decoded and sent back in one go: rows, and bytes unless one text has more.
+ROWS_OF_TEXT = 512
+BYTES_AT_ONCE = 4_000_000
 #: What a remembered word takes besides its own bytes and ids.
 ENTRY = 200
 
@@ -219,20 +222,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
     """
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    @F.pandas_udf(ENCODED)
-    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ENCODED)
+    def coded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = coder_of(held.value, pattern)
         for part in parts:
-            rows = [coder_rows(coder, part.iloc[at : at + 512].tolist()) for at in range(0, len(part), 512)]
-            yield pd.concat(rows) if rows else pd.DataFrame({"n_tokens": [], "ids": [], "decoded": []})
+            for some in slices(part):
+                yield coder_rows(coder, some.to_pylist())
         forget_soon()
 
     return docs.withColumn(column, coded(F.col(f"`{text}`")))
 
 
-def coder_rows(coder: Coder, texts: list[str | None]) -> pd.DataFrame:
+def slices(part: pa.Array) -> Iterator[pa.Array]:
+    """A batch's rows in runs whose results alone are held: Spark's batches are bounded in rows, not in bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(part):
+        most = BYTES_AT_ONCE + (int(sizes[at - 1]) if at else 0)
+        upto = min(at + ROWS_OF_TEXT, max(at + 1, int(np.searchsorted(sizes, most, side="right"))))
+        yield part.slice(at, upto - at)
+        at = upto
+
+
+def coder_rows(coder: Coder, texts: list[str | None]) -> pa.Array:
     ids = coder.encode(texts)
-    return pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": coder.decode(ids)})
+    columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())]
+    return pa.StructArray.from_arrays(columns, [f.name for f in ENCODED])
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

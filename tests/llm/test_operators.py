@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -405,3 +406,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
             docs = stage(spark, docs, SF)
             assert docs.columns == odd.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns[0] == "doc_id"
+
+
+def test_bpe_takes_few_texts_at_once():
+    """What is encoded and sent back in one go is bounded in rows and in bytes, whatever Spark's batch holds."""
+    texts = pa.array(["a" * 10, None, "é" * bpe.BYTES_AT_ONCE, "", *["b" * (bpe.BYTES_AT_ONCE // 3)] * 7, *["c"] * 1200])
+    taken = list(bpe.slices(texts))
+    assert [x for some in taken for x in some.to_pylist()] == texts.to_pylist()
+    for some in taken:
+        held = [len((x or "").encode()) for x in some.to_pylist()]
+        assert len(held) <= bpe.ROWS_OF_TEXT and (sum(held) <= bpe.BYTES_AT_ONCE or len(held) == 1)
+    assert len(taken) < 10 and not list(bpe.slices(pa.array([], pa.string())))
