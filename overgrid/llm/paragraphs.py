@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overgrid.llm import passages
-from overgrid.llm.common import free_name, plain, shared_folder, stored, text_of
+from overgrid.llm.collocations import bloom, combine, known
+from overgrid.llm.common import free_name, plain, shared_folder, stored
 from overgrid.llm.linking import components, digest, link, tied_edges
 from overgrid.llm.words import U, minima, mix, shingle_sets
 from overgrid.operators.joins import fan_join
@@ -78,13 +79,38 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, keyed: bool = True)
     return docs.mapInPandas(run, PARAGRAPH)
 
 
+def place_keys(doc_id: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+    return combine(doc_id.astype(np.int64).view(np.uint64), paragraph.astype(np.uint64))
+
+
+@F.pandas_udf(T.LongType())
+def _place(doc_id: pd.Series, paragraph: pd.Series) -> pd.Series:
+    return pd.Series(place_keys(doc_id.to_numpy(), paragraph.to_numpy()).view(np.int64))
+
+
+def wanted_lines(docs: DataFrame, wanted, min_words: int) -> DataFrame:
+    """``(doc_id, paragraph, text)``: the paragraphs whose places the filter ``wanted`` may hold."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), 256):
+                few = part.iloc[at : at + 256]
+                found = [(d, i, line) for d, text in zip(few["doc_id"], few["text"], strict=True) for i, line in long_lines(text, min_words)]
+                if found:
+                    rows = pd.DataFrame(found, columns=["doc_id", "paragraph", "text"])
+                    yield rows[known(wanted.value, place_keys(rows["doc_id"].to_numpy(), rows["paragraph"].to_numpy()))]
+
+    return docs.mapInPandas(run, "doc_id long, paragraph int, text string")
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, paragraph, first_doc_id, first_paragraph, kept)`` of the paragraphs of clusters over documents."""
     folder = shared_folder(docs.sparkSession)
     named = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = stored(paragraphs(named, min_words), "paragraphs", folder)
+    found = stored(paragraphs(named, min_words, keyed=False).select("doc_id", "paragraph", "id"), "paragraphs", folder)
+    # Band keys are made anew here rather than written for every copy of a paragraph.
     items = stored(
-        found.groupBy("id").agg(
+        paragraphs(named, min_words).groupBy("id").agg(
             F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"),
             F.any_value("size").alias("size"), F.any_value("keys").alias("keys"),
         ),
@@ -95,9 +121,12 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     edges = tied_edges(short.select(F.explode("keys").alias("key"), F.col("short").alias("id")), folder)
     coarse = stored(components(edges, folder, "coarse").withColumnRenamed("id", "short"), "groups", folder)
     root = F.encode(F.col("root").cast("string"), "utf-8").alias("root")
-    members = short.join(coarse, "short").select(root, "id", "size", "first.doc_id", "first.paragraph")
-    line = F.get(F.split(text_of("text"), "\n", -1), F.col("paragraph"))
-    groups = named.join(members, "doc_id").select("root", "id", "size", line.alias("text"), F.lit(None).cast("binary").alias("sketch"))
+    members = stored(short.join(coarse, "short").select(root, "id", "size", "first.doc_id", "first.paragraph"), "paragraph-members", folder)
+    # Few lines are members: a filter finds them where they are, so that lines move and not texts.
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select(_place("doc_id", "paragraph").alias("key")), members.count()))
+    lines = wanted_lines(named, wanted, min_words).join(members, ["doc_id", "paragraph"])
+    groups = stored(lines.select("root", "id", "size", "text", F.lit(None).cast("binary").alias("sketch")), "paragraph-groups", folder)
+    wanted.unpersist()
     linked = link(groups, shingle_sets, PERCENT, folder)
     rooted = items.select("id", "first", "last").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = stored(rooted, "rooted", folder)

@@ -150,3 +150,19 @@ def test_small_groups_are_linked_together():
     assert linking.link_group([a, b], 80).tolist() == [0, 0]  # 18 of 22
     assert linking.link_group([a, b], 82).tolist() == [0, 1]
     assert linking.link_group([a, b, c], 80).tolist() == [0, 0, 2]
+
+
+def test_only_wanted_lines_move(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from overgrid.llm.collocations import bloom
+
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(25))
+    docs = spark.createDataFrame([(d, f"short\n{line(d)}\n{line(d + 100)}") for d in range(-1, 30)] + [(40, None)], DOCS)
+    keys = paragraphs.place_keys(np.array([-1, 3, 40]), np.array([1, 2, 1])).view(np.int64).tolist()
+    wanted = spark.sparkContext.broadcast(bloom(spark.createDataFrame([(k,) for k in keys], "key long"), 3))
+    places = spark.createDataFrame([(-1, 1), (3, 2), (40, 1)], "doc_id long, paragraph int")
+    assert sorted(r.k for r in places.select(paragraphs._place("doc_id", "paragraph").alias("k")).collect()) == sorted(keys)
+    got = paragraphs.wanted_lines(docs, wanted, 20).filter(F.col("doc_id").isin(-1, 3, 40)).collect()
+    assert sorted(map(tuple, got)) == [(-1, 1, line(-1)), (3, 2, line(103))]
